@@ -1,0 +1 @@
+"""No streaming operators: every input of the engine is a finite table (see README)."""
