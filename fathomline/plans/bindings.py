@@ -47,7 +47,8 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frame with its score strata, saved once as a drawn frame is."""
-    f = A.score_deciles(frame(spark, sf_dir))
+    # the strata read the frame twice, and making it unique is the costly part
+    f = A.score_deciles(staged(frame(spark, sf_dir), "frame"))
     return staged(f.withColumn("design_stratum", F.concat(F.lit("d"), F.col("decile").cast("string"))), "strata")
 
 

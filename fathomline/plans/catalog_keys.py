@@ -105,13 +105,13 @@ def decision_cast(spark, d):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("feature_columns", sql("frame", """SELECT pool_id, k_wmo, k_cycle, k_pres, score, l_partkey, l_quantity, l_extendedprice, l_discount,
+@query("feature_columns", sql("frame", """SELECT pool_id, k_wmo, k_cycle, k_pres, round(score, 6) AS score, l_partkey, l_quantity, l_extendedprice, l_discount,
     l_tax, decision FROM frame"""))
 def feature_columns(spark, d):
     return R.numeric_only(B.frame(spark, d))
 
 
-@query("dedup_on_key", sql("frame", f"SELECT {_KEY}, wmo, cycle_number, pres_adjusted, score, l_partkey, decision FROM frame"))
+@query("dedup_on_key", sql("frame", f"SELECT {_KEY}, wmo, cycle_number, pres_adjusted, round(score, 6) AS score, l_partkey, decision FROM frame"))
 def dedup_on_key(spark, d):
     return B.frame(spark, d).select("pool_id", *K.EVENT_KEY, *K.KEYS, "score", "l_partkey", "decision")
 
