@@ -280,8 +280,9 @@ def next_pool(rates: DataFrame, pools: DataFrame) -> DataFrame:
 
 def pace(sheets: DataFrame) -> DataFrame:
     """Seconds per row between the calibration copy and the sheet. `sheets(sheet_id, copy_ts, sheet_ts, n_rows)`."""
-    t = (F.col("sheet_ts").cast("double") - F.col("copy_ts").cast("double"))
-    return sheets.select("sheet_id", (t / F.col("n_rows")).alias("seconds_per_row"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    took = (micros("sheet_ts") - micros("copy_ts")) / F.lit(1e6)
+    return sheets.select("sheet_id", (took / F.col("n_rows")).alias("seconds_per_row"))
 
 
 def uncertain(rows: DataFrame, by: Sequence[str] = (POOL,)) -> DataFrame:

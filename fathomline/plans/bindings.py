@@ -131,8 +131,8 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as raw readings: supplier = float, shipping year = profile, day of the year = pressure."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("wmo"), F.year("l_shipdate").alias("cycle_number"),
-        (F.dayofyear("l_shipdate") * 2.5).alias("pres_adjusted"), (F.col("l_extendedprice") / 1000).alias("aou"),
-        F.when(F.col("l_discount") > 0, F.col("l_quantity") * (1 + F.col("l_discount"))).alias("abs_sal"),
+        (F.dayofyear("l_shipdate") * 2.5).alias("pres_adjusted"), (F.col("l_extendedprice") / 997).alias("aou"),
+        F.when(F.col("l_discount") > 0, F.col("l_quantity") * (1 + F.col("l_discount")) / 0.97).alias("abs_sal"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate",
         "l_returnflag", "l_linestatus")
 
@@ -178,7 +178,7 @@ _SQL = {
         CASE WHEN y <= 1998 THEN 'analysis' WHEN y = 1999 THEN 'rejudgement' WHEN y = 2000 THEN 'training' ELSE 'answer_key' END AS role,
         y <> 1995 AS decides, 'crit_1' AS criterion_version, CASE WHEN y = 1999 THEN 'b1998_' || split_part(pool_id, '/', 3) END AS rejudges,
         y <> 2000 AS has_label, 'frame of ' || y AS sampling_frame FROM (SELECT DISTINCT pool_id, year(time) AS y FROM li)"""),
-    "sheets": ((), """SELECT *, batch_id || '_s' || session AS sheet_id, CASE WHEN label IN (0, 1) THEN
+    "sheets": ((), """SELECT * EXCLUDE (n, k), batch_id || '_s' || session AS sheet_id, CASE WHEN label IN (0, 1) THEN
         CASE WHEN ('0x' || substr(sha256('7|flip|' || event_id), 1, 13))::BIGINT / pow(2, 52) < 0.8 THEN label ELSE 1 - label END END AS second_label
         FROM (SELECT *, CASE WHEN sample_id < (n - (n // k) * k) * (n // k + 1) THEN sample_id // (n // k + 1)
         ELSE (n - (n // k) * k) + (sample_id - (n - (n // k) * k) * (n // k + 1)) // (n // k) END + 1 AS session FROM (
@@ -190,7 +190,7 @@ _SQL = {
         ts::DATE AS day, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sample_id,
         count(*) OVER (PARTITION BY user_id) AS n FROM events)))"""),
     "prof": ((), """SELECT l_suppkey AS wmo, year(l_shipdate) AS cycle_number, dayofyear(l_shipdate) * 2.5::DOUBLE AS pres_adjusted,
-        l_extendedprice / 1000 AS aou, CASE WHEN l_discount > 0 THEN l_quantity * (1 + l_discount) END AS abs_sal, * FROM lineitem"""),
+        l_extendedprice / 997 AS aou, CASE WHEN l_discount > 0 THEN l_quantity * (1 + l_discount) / 0.97::DOUBLE END AS abs_sal, * FROM lineitem"""),
 }
 
 
