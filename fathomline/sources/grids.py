@@ -18,7 +18,7 @@ def scan_grids(spark: SparkSession, glob: str) -> DataFrame:
     df = spark.read.option("mergeSchema", "true").parquet(glob)
     name = F.col("_metadata.file_name")
     part = lambda i: F.regexp_extract(name, FILE_NAME, i)
-    return (df.select("*", part(1).cast("bigint").alias("wmo"), part(2).alias("grid_kind"), part(3).alias("resolution"),
+    return (df.select("*", part(1).try_cast("bigint").alias("wmo"), part(2).alias("grid_kind"), part(3).alias("resolution"),
                       name.alias("file_name")).where(F.col("wmo").isNotNull()))
 
 
@@ -28,7 +28,7 @@ def list_grids(spark: SparkSession, folder: str) -> DataFrame:
              .select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "path", F.col("length").alias("bytes")))
     part = lambda i: F.regexp_extract("file_name", FILE_NAME, i)
     return (files.where(F.col("file_name").rlike("^" + FILE_NAME + "$"))
-            .select("file_name", "path", "bytes", part(1).cast("bigint").alias("wmo"), part(2).alias("grid_kind"),
+            .select("file_name", "path", "bytes", part(1).try_cast("bigint").alias("wmo"), part(2).alias("grid_kind"),
                     part(3).alias("resolution")))
 
 
