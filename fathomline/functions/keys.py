@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .guards import Refused, refuse
+from .ordered import ordered
 
 # fixed values: the closed vocabulary of pool names
 CHANNELS = ("physical", "nitrate", "carbon")
@@ -23,7 +24,7 @@ def _whole(c: Column | str) -> Column:
     """The nearest whole number, halves to even; what is not a number becomes null."""
     c = F.col(c) if isinstance(c, str) else c
     number = F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
-    return F.bround(number, 0).cast("bigint")
+    return F.rint(number).cast("bigint")
 
 
 def event_key(df: DataFrame, wmo: str = "wmo", cycle: str = "cycle_number", pres: str = "pres_adjusted",
@@ -79,8 +80,8 @@ def content_hash(df: DataFrame, by: Sequence[str] = ("pool_id",), key: Sequence[
     """The identity of a key set, independent of row order: `n` and `content_sha256` per group.
 
     Each distinct key's sha256 is cut into 32-bit pieces, the pieces are summed per group, and the sums
-    are hashed. Sums combine on the map side, so no task ever holds a set; `listed_hash` is the digest
-    over the written-out sorted list, for sets small enough to write out.
+    are hashed. Sums combine on the map side, so no task ever holds a set and nothing is sorted; `listed_hash` is
+    the digest over the sorted list as it would be written out.
     """
     by = list(by)
     digest = F.sha2(id_line(*key), 256)
@@ -92,32 +93,37 @@ def content_hash(df: DataFrame, by: Sequence[str] = ("pool_id",), key: Sequence[
     return sums.select(*by, "n", F.sha2(id_line("n", *[f"_s{i}" for i in range(_LIMBS)]), 256).alias("content_sha256"))
 
 
-def listed_hash(df: DataFrame, by: Sequence[str] = ("pool_id",), key: Sequence[str] = EVENT_KEY,
-                limit: int = 2_000_000) -> DataFrame:
-    """sha256 over the numerically sorted `a|b|c` lines of each set, joined by line feeds.
+def _chained_digest(df: DataFrame, by: list[str], order: Sequence[str], line: Column, glue: str, limit: int) -> DataFrame:
+    """sha256 over the ordered lines of each group, as `n` and `digest`.
 
-    The digest needs the whole list in one place, so a set above `limit` keys is refused: use
-    `content_hash` for it.
+    A digest runs over its lines in sequence. Groups above `limit` lines are therefore digested in consecutive
+    stretches of `limit`, and the digest is that of the stretches' digests: no task holds more than `limit` lines.
     """
-    by = list(by)
+    ranked = ordered(df.select(*by, *order, line.alias("_line")), by, list(order))
+    stretch = ranked.withColumn("_part", F.floor(F.col("rank") / limit)).groupBy(*by, "_part").agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("rank", "_line"))).alias("_l"))
+    text = F.array_join(F.transform("_l", lambda s: s["_line"]), glue)
+    parts = stretch.select(*by, "_part", "n", F.sha2(text, 256).alias("_d"))
+    whole = parts.groupBy(*by).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("_part", "_d"))).alias("_p"))
+    digests = F.transform("_p", lambda s: s["_d"])
+    return whole.select(*by, "n", F.when(F.size("_p") == 1, digests[0]).otherwise(
+        F.sha2(F.array_join(digests, "\n"), 256)).alias("digest"))
+
+
+def listed_hash(df: DataFrame, by: Sequence[str] = ("pool_id",), key: Sequence[str] = EVENT_KEY,
+                limit: int = 1_000_000) -> DataFrame:
+    """sha256 over the numerically sorted `a|b|c` lines of each set, joined by line feeds: the digest of a written list."""
     keys = df.select(*by, *key).dropna(subset=list(key)).distinct()
-    refuse(keys.groupBy(*by).count().where(F.col("count") > limit),
-           f"a set above {limit} keys has no listed digest; use content_hash")
-    lines = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
-                                  F.array_sort(F.collect_list(F.struct(*key))).alias("_k"))
-    text = F.array_join(F.transform("_k", lambda s: id_line(*[s[c] for c in key])), "\n")
-    return lines.select(*by, "n", F.sha2(text, 256).alias("content_sha256"))
+    return _chained_digest(keys, list(by), key, id_line(*key), "\n", limit).withColumnRenamed("digest", "content_sha256")
 
 
 def joint_digest(df: DataFrame, by: Sequence[str], order: str, digest: str, limit: int = 100_000) -> DataFrame:
     """One digest for the sheets of a draw: over `digest TAB sheet LF` in order; a single sheet keeps its own."""
     by = list(by)
-    refuse(df.groupBy(*by).count().where(F.col("count") > limit), f"more than {limit} sheets in one draw")
-    line = lambda s: F.concat(s[digest], F.lit("\t"), s[order].cast("string"), F.lit("\n"))
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, digest))).alias("_s"))
-    return rows.select(*by, F.size("_s").alias("sheets"), F.when(
-        F.size("_s") == 1, F.col("_s")[0][digest]).otherwise(
-        F.sha2(F.array_join(F.transform("_s", line), ""), 256)).alias("digest"))
+    line = F.concat(F.col(digest), F.lit("\t"), F.col(order).cast("string"), F.lit("\n"))
+    joint = _chained_digest(df, by, [order], line, "", limit).withColumnRenamed("n", "sheets")
+    own = df.groupBy(*by).agg(F.min(digest).alias("_own"))
+    return joint.join(own, by).select(*by, "sheets", F.when(F.col("sheets") == 1, F.col("_own")).otherwise(F.col("digest")).alias("digest"))
 
 
 def decision(label: Column | str) -> Column:

@@ -40,34 +40,49 @@ def _ln_factorial(k: np.ndarray) -> np.ndarray:
     return np.where(k < 64, _LN_SMALL[np.clip(k, 0, 63).astype(int)], series)
 
 
-def _tail_mass(ln_pmf, lo: int, hi: int, at: int) -> float:
-    """Total probability of the outcomes no likelier than the one observed, span by span."""
-    cut = float(ln_pmf(np.array([at]))[0]) + math.log1p(_SAME)
-    total = 0.0
-    for start in range(lo, hi + 1, _SPAN):
-        ln = ln_pmf(np.arange(start, min(start + _SPAN, hi + 1)))
-        total += float(np.exp(ln[ln <= cut]).sum())
-    return min(total, 1.0)
-
-
-def _fisher(a: int, b: int, c: int, d: int) -> float:
+def _tails(ln_pmf, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per row, the total probability of the outcomes lo..hi no likelier than the one at `at`.
+
+    Rows of similar support are laid out as one matrix; a support wider than a matrix is summed span by span.
+    `ln_pmf(outcomes, rows)` gives log probabilities for a matrix of outcomes of the given rows.
+    """
+    width, out = hi - lo + 1, np.zeros(len(lo))
+    order, i = np.argsort(width, kind="stable"), 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and (j - i + 1) * width[order[j]] <= _SPAN:
+            j += 1
+        rows = order[i:j]
+        cut = ln_pmf(at[rows][:, None], rows) + math.log1p(_SAME)
+        for start in range(0, int(width[rows[-1]]), _SPAN):
+            k = lo[rows][:, None] + np.arange(start, min(start + _SPAN, int(width[rows[-1]])))
+            inside = k <= hi[rows][:, None]
+            ln = ln_pmf(np.where(inside, k, lo[rows][:, None]), rows)
+            out[rows] += np.where(inside & (ln <= cut), np.exp(ln), 0.0).sum(axis=1)
+        i = j
+    return np.minimum(out, 1.0)
+
+
+def _fishers(a, b, c, d) -> np.ndarray:
     r1, r2, c1 = a + b, c + d, a + c
-    n = r1 + r2
-    fixed = sum(float(_ln_factorial(x)) for x in (r1, r2, c1, n - c1)) - float(_ln_factorial(n))
+    fixed = _ln_factorial(r1) + _ln_factorial(r2) + _ln_factorial(c1) + _ln_factorial(b + d) - _ln_factorial(r1 + r2)
 
-    def ln_pmf(k):
-        return fixed - (_ln_factorial(k) + _ln_factorial(r1 - k) + _ln_factorial(c1 - k) + _ln_factorial(r2 - c1 + k))
-    return _tail_mass(ln_pmf, max(0, c1 - r2), min(r1, c1), a)
+    def ln_pmf(k, rows):
+        x, y, z = r1[rows][:, None], c1[rows][:, None], r2[rows][:, None]
+        return fixed[rows][:, None] - (_ln_factorial(k) + _ln_factorial(x - k) + _ln_factorial(y - k) + _ln_factorial(z - y + k))
+    return _tails(ln_pmf, np.maximum(0, c1 - r2), np.minimum(r1, c1), a)
 
 
-def _binomial(k: int, n: int, p: float) -> float:
-    if p <= 0 or p >= 1:
-        return 1.0 if k == (0 if p <= 0 else n) else 0.0
-    fixed = float(_ln_factorial(n))
+def _binomials(k, n, p) -> np.ndarray:
+    inner = (p > 0) & (p < 1)
+    q = np.where(inner, p, 0.5)
+    fixed = _ln_factorial(n)
 
-    def ln_pmf(x):
-        return fixed - _ln_factorial(x) - _ln_factorial(n - x) + x * math.log(p) + (n - x) * math.log1p(-p)
-    return _tail_mass(ln_pmf, 0, n, k)
+    def ln_pmf(x, rows):
+        m, s = n[rows][:, None], q[rows][:, None]
+        return fixed[rows][:, None] - _ln_factorial(x) - _ln_factorial(m - x) + x * np.log(s) + (m - x) * np.log1p(-s)
+    certain = np.where(k == np.where(p <= 0, 0, n), 1.0, 0.0)
+    return np.where(inner, _tails(ln_pmf, np.zeros_like(n), n, k), certain)
 
 
 def _kolmogorov(d: float, n: int) -> float:
@@ -156,16 +171,26 @@ def _each(fn, *columns: pd.Series) -> pd.Series:
     return pd.Series([None if any(pd.isna(v) for v in row) else fn(*row) for row in zip(*columns)], dtype="float64")
 
 
+def _together(fn, *columns: pd.Series) -> pd.Series:
+    """`fn` over whole columns at once; a row with a missing argument has no answer."""
+    table = pd.concat([c.reset_index(drop=True) for c in columns], axis=1)
+    out = pd.Series(np.nan, index=table.index)
+    full = table.dropna()
+    if len(full):
+        out[full.index] = fn(*[full.iloc[:, i] for i in range(full.shape[1])])
+    return out.astype(object).where(out.notna(), None).astype("Float64")
+
+
 @F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Fisher's exact two-sided p of the table [[a, b], [c, d]]."""
-    return _each(lambda *t: _fisher(*map(int, t)), a, b, c, d)
+    return _together(lambda *t: _fishers(*[x.to_numpy(np.int64) for x in t]), a, b, c, d)
 
 
 @F.pandas_udf(DoubleType())
 def binomial_p(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """The exact two-sided binomial p of k in n at rate p."""
-    return _each(lambda k, n, p: _binomial(int(k), int(n), float(p)), k, n, p)
+    return _together(lambda k, n, p: _binomials(k.to_numpy(np.int64), n.to_numpy(np.int64), p.to_numpy(float)), k, n, p)
 
 
 @F.pandas_udf(DoubleType())

@@ -42,7 +42,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scored pool: one row per event key."""
-    return dedup(event_key(lines(spark, sf_dir)), ["pool_id", *EVENT_KEY], TIE_BREAK)
+    # the most selective column first: a sort then rarely looks at the others
+    return dedup(event_key(lines(spark, sf_dir)), ["k_cycle", "k_wmo", "k_pres", "pool_id"], TIE_BREAK)
 
 
 def strat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,12 +298,11 @@ def calibration_draw(spark, d):
     return t.select("pool_id", *EVENT_KEY, "tier")
 
 
-@query("control_slots", sql("sheets", f"""SELECT batch_id, i, least(CAST(floor((i + {u(SEED, 'slots', 'batch_id')}) * n / k) AS BIGINT), n - 1) AS slot FROM (
-    SELECT *, unnest(range(k)) AS i FROM (SELECT batch_id, count(*) AS n, count(*) FILTER (control_arm <> 'target') AS k FROM sheets GROUP BY ALL))"""))
+@query("control_slots", sql("sheets", f"""SELECT sheet_id, i, least(CAST(floor((i + {u(SEED, 'slots', 'sheet_id')}) * n / k) AS BIGINT), n - 1) AS slot FROM (
+    SELECT *, unnest(range(k)) AS i FROM (SELECT sheet_id, count(*) AS n, count(*) FILTER (control_arm <> 'target') AS k FROM sheets GROUP BY ALL))"""))
 def control_slots(spark, d):
-    t = B.table(spark, d, "events").groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("batch_id")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if((F.col("value") >= 110) | (F.col("value") < 5)).alias("n_controls"))
-    return P.control_slots(t, SEED)
+    t = B.sheets(spark, d).groupBy("sheet_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("control_arm") != P.TARGET).alias("n_controls"))
+    return P.control_slots(t, SEED, ("sheet_id",))
 
 
 def _order_sql(source: str, by: str, arm: str, key: str) -> str:
@@ -344,10 +343,10 @@ def assemble_worksheet(spark, d):
     return t.select("label", "sample_id", "wmo", "cycle_number", F.bround("pres_adjusted", 0).alias("pres"), "event_type")
 
 
-@query("interleave", sql("sheets", "SELECT batch_id, event_id, pos AS new_id FROM placed_rows", _order_sql("(SELECT batch_id, event_id, control_arm FROM sheets)", "batch_id", "control_arm", "event_id")))
+@query("interleave", sql("sheets", "SELECT sheet_id, event_id, pos AS new_id FROM placed_rows", _order_sql("(SELECT sheet_id, event_id, control_arm FROM sheets)", "sheet_id", "control_arm", "event_id")))
 def interleave(spark, d):
-    t = B.sheets(spark, d).select("sheet_id", "batch_id", "event_id", "control_arm")
-    return P.interleave(t, SEED, ("batch_id",), key=("event_id",)).select("batch_id", "event_id", F.col("sample_id").alias("new_id"))
+    t = B.sheets(spark, d).select("sheet_id", "event_id", "control_arm")
+    return P.interleave(t, SEED, ("sheet_id",), key=("event_id",)).select("sheet_id", "event_id", F.col("sample_id").alias("new_id"))
 
 
 @query("split_sessions", sql("sheets", "SELECT batch_id, sheet_id, count(*) AS n, min(sample_id) AS first_id, max(sample_id) AS last_id FROM sheets GROUP BY ALL"))

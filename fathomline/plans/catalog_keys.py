@@ -94,7 +94,7 @@ def review_id(spark, d):
     FROM orders GROUP BY ALL""")
 def joint_digest(spark, d):
     t = B.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("digest"))
-    return K.joint_digest(t, ["o_custkey"], "o_orderkey", "digest").withColumn("sheets", F.col("sheets").cast("bigint"))
+    return K.joint_digest(t, ["o_custkey"], "o_orderkey", "digest")
 
 
 @query("decision_cast", """SELECT o_orderpriority, CASE WHEN try_cast(left(o_orderpriority, 1) AS INT) IN (0, 1, 2) THEN

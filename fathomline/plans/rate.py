@@ -14,8 +14,8 @@ def rate_report(rows: DataFrame, frame_sizes: DataFrame, candidates: DataFrame,
                 target: float = E.TARGET_REL) -> DataFrame:
     """Rate, error bars, denominators, precision still needed, drift band, corrected rate and net, per pool.
 
-    `rows` are decided target rows with `batch_id` and `half`; they are read once into counts per stratum, batch
-    and half before anything else is formed.
+    `rows` are decided target rows with `batch_id` and `half`. Their few columns are staged once; every figure is one
+    aggregate over them, by stratum, batch and half.
     """
     rows = staged(rows.select("pool_id", "design_stratum", "batch_id", "wmo", "half", "decision", "inclusion_probability"), "rows")
     sizes = staged(frame_sizes, "sizes")

@@ -161,9 +161,14 @@ def test_set_digest_ignores_order_and_copies(frame):
     assert K.listed_hash(k).first() == K.listed_hash(k.repartition(5)).first()
 
 
-def test_listed_digest_is_refused_above_its_limit(frame):
-    with pytest.raises(K.Refused):
-        K.listed_hash(K.event_key(frame), limit=100)
+def test_listed_digest_of_a_long_list_is_taken_in_stretches(frame):
+    import hashlib
+    k = K.event_key(frame)
+    lines = ["|".join(map(str, r)) for r in rows(k, *K.EVENT_KEY)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert K.listed_hash(k).first()["content_sha256"] == sha("\n".join(lines))
+    stretches = [sha("\n".join(lines[i:i + 4000])) for i in range(0, 9000, 4000)]
+    assert K.listed_hash(k, limit=4000).first()["content_sha256"] == sha("\n".join(stretches))
 
 
 def test_dedup_of_many_copies(frame):
