@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .hashing import unit
 from .staging import staged
 
+SLICES = 1 << 14                # equal cuts of a hash number
 
 def _columns(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
@@ -91,7 +92,7 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[
 
 
 def hash_ordered(df: DataFrame, by: Sequence[str], u: str, tie: Sequence[str],
-                 totals: Mapping[str, Column] | None = None, buckets: int = 1024) -> DataFrame:
+                 totals: Mapping[str, Column] | None = None, buckets: int = SLICES) -> DataFrame:
     """`ordered` for an order that is a hash number in [0, 1): the slices are known beforehand.
 
     Equal cuts of a uniform number are equal shares of any group, so nothing has to be sampled or staged.
@@ -124,10 +125,23 @@ def hash_ordered(df: DataFrame, by: Sequence[str], u: str, tie: Sequence[str],
 
 def smallest(df: DataFrame, by: Sequence[str], n: Column | int, seed: int, tag: str,
              key: Sequence[str]) -> DataFrame:
-    """`n` rows of every group, drawn without replacement: those with the smallest hash numbers."""
-    drawn = df.withColumn("_u", unit(seed, tag, *key))
+    """`n` rows of every group, drawn without replacement: those with the smallest hash numbers.
+
+    Counts per slice of the hash say in which slices the first `n` lie; only those rows are ranked, all others
+    are passed over while scanning. Adds `rank` and `group_n`.
+    """
+    by = list(by)
     n = F.lit(n) if isinstance(n, int) else n
-    return hash_ordered(drawn, by, "_u", key).where(F.col("rank") < n).drop("_u")
+    t = df.withColumn("_u", unit(seed, tag, *key)).withColumn("_n", n.cast("bigint"))
+    t = t.withColumn("_slice", F.floor(F.col("_u") * SLICES))
+    whole = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = t.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_m"))
+    parts = parts.select(*by, "_slice", "_m", before.alias("_before"), F.sum("_c").over(whole).alias("group_n"))
+    near = staged(parts.where(F.col("_before") < F.col("_m")).drop("_m"), "slices")
+    local = Window.partitionBy(*by, "_slice").orderBy("_u", *key)
+    out = t.join(near, [*by, "_slice"]).withColumn("rank", F.row_number().over(local) - 1 + F.col("_before"))
+    return out.where(F.col("rank") < F.col("_n")).select(*df.columns, "rank", "group_n")
 
 
 def running_median(df: DataFrame, by: Sequence[str], order: str, value: str, k: int, out: str,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.guards import refuse
 from ..functions.hashing import unit
 from ..functions.ordered import ordered
+from ..functions.staging import staged
 from ..functions.stats import Z, jeffreys
 from .allocation import POOL, STRATUM
 
@@ -206,7 +207,8 @@ def pool_cells(parts: DataFrame, by: Sequence[str] = ("batch_id",)) -> DataFrame
 def _in_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """Rows with their cell `<verdict>|<half>` and, where a second look covers the batch, the cell's rate `q`."""
     cell = F.concat_ws("|", F.col(Y).cast("int").cast("string"), F.col("half"))
-    rate = cells.where(F.col("n") > 0).select("batch_id", "cell", (F.col("accepted") / F.col("n")).alias("q"))
+    # four cells per batch: staged, so that the rows are not shuffled to meet them
+    rate = staged(cells.where(F.col("n") > 0).select("batch_id", "cell", (F.col("accepted") / F.col("n")).alias("q")), "cells")
     return rows.withColumn("cell", cell).join(rate, ["batch_id", "cell"], "left")
 
 
