@@ -384,7 +384,14 @@ def held_arm(spark, d):
     return _arm(spark, d, plan.held_arm, size=N_DRAW)[1].select("batch_id", "sample_id", *EVENT_KEY, "control_arm")
 
 
-@query("rejudge_arm")
+_LIMB = """w AS (SELECT pool_id, design_stratum, frame_n / sum(frame_n) OVER (PARTITION BY pool_id) AS w FROM sizes),
+    planned AS (SELECT batch_id, cell, sum(w * c / n_h) AS share, 0.5 AS q, sum(c)::BIGINT AS available FROM (SELECT *, sum(c) OVER (PARTITION BY pool_id, design_stratum) AS n_h
+    FROM (SELECT split_part(pool_id, '/', 3) AS batch_id, pool_id, design_stratum, decision || '|' || half AS cell, count(*) AS c FROM rows GROUP BY ALL))
+    JOIN w USING (pool_id, design_stratum) GROUP BY ALL)""" + _REJ[len(_CELLS):]
+
+
+@query("rejudge_arm", sql("rows", """SELECT batch_id, 'target' AS control_arm, left(cell, 1)::INT AS original_label, split_part(cell, '|', 2) AS original_half, draw_n AS n FROM rej
+    UNION ALL SELECT DISTINCT batch_id, arm, NULL::INT, NULL, 10::BIGINT FROM rej, (VALUES ('pos_ctrl'), ('neg_ctrl')) a(arm)""", _LIMB))
 def rejudge_arm(spark, d):
     """A second look at every limb's decided rows, by first verdict and half."""
     s = B.strat(spark, d).withColumn("candidate_id", candidate_id())

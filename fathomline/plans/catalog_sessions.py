@@ -158,7 +158,7 @@ def cmh_continuity(spark, d):
 
 
 @query("drift_gate", sql("sheets", """SELECT day::VARCHAR AS batch_id, CASE WHEN dayofmonth(day) > 5 AND num * num / var > 2.705543454095404 AND dayofmonth(day) % 2 = 1 THEN 'refuse' ELSE 'load' END AS decision,
-    CASE WHEN dayofmonth(day) <= 5 THEN 'not a rate batch' WHEN num * num / var <= 2.705543454095404 THEN 'acceptance did not move across the sitting'
+    CASE WHEN dayofmonth(day) <= 5 THEN 'not a rate batch' WHEN coalesce(num * num / var, 0) <= 2.705543454095404 THEN 'acceptance did not move across the sitting'
     WHEN dayofmonth(day) % 2 = 0 THEN 'a second look of this batch has been drawn' ELSE 'acceptance moved and no second look has been drawn' END AS reason FROM cmh""", _CMH))
 def drift_gate(spark, d):
     t = Q.cmh(_by_day(spark, d), by=("day",)).select("day", "p")

@@ -15,7 +15,7 @@ def con():
 def test_every_query_has_its_sql_or_a_reason():
     without = set(entry.queries()) - set(entry.oracle_sql())
     # fitted trees, iterated draws, and tails SQL has no function for
-    assert without == {"design_effect_rounds", "rate_arm", "rejudge_arm", "mann_whitney_exact", "control_intervals", "control_position_verdicts",
+    assert without == {"design_effect_rounds", "rate_arm", "mann_whitney_exact", "control_intervals", "control_position_verdicts",
                        "model_out_of_fold", "model_score", "model_transfer", "model_saved"}
 
 
