@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fathomline.functions.staging import new_path
 
-from . import packing, records
+from . import packing, quality, records, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces_of(table(spark, sf_dir, "documents")))
+
+
+@query("op4_url_filter", urls.ORACLE)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_quality_rules", quality.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judged(docs).select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
