@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.staging import new_path
 
-from . import lines, mixing, packing, quality, records, urls
+from . import lines, mixing, packing, quality, records, simhash, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_source_mix")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+@query("op7_simhash_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
