@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.staging import new_path
 
-from . import lines, mixing, packing, quality, records, simhash, urls
+from . import lines, mixing, packing, quality, records, simhash, substring, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_simhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_substring_dedup", substring.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -68,3 +68,55 @@ class Powers:
 def random_table(seed: int, n: int = 256) -> np.ndarray:
     """n fixed pseudo-random 64-bit numbers."""
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+
+def rows_numbered(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` of `docs` with a number for each row, `row`, the same whenever the result is read.
+
+    A table read from files is numbered by its scan; anything else is written first, since a shuffle may deal its rows anew.
+    """
+    from fathomline.functions.staging import staged
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    simple = all(line.lstrip(" +-:").startswith(("Project", "Filter", "Relation", "LocalRelation")) for line in plan.splitlines() if line.strip())
+    source = docs.select(*columns)
+    return (source if simple else staged(source, "rows")).withColumn("row", F.monotonically_increasing_id())
+
+
+def text_slices(batch, column: int, most_bytes: int = 4 << 20):
+    """The texts of a record batch in runs of about `most_bytes`, as one buffer of bytes each: first row, bytes, ends of the texts
+    (one more than texts, from 0). Nulls are empty; a longer text stands alone."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    n, (_, offsets, data) = len(texts), texts.buffers()
+    if not n:
+        return
+    ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset:texts.offset + n + 1]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    at = 0
+    while at < n:
+        to = min(n, max(at + 1, int(np.searchsorted(ends, ends[at] + most_bytes, side="right")) - 1))
+        yield at, raw[ends[at]:ends[to]], ends[at:to + 1] - ends[at]
+        at = to
+
+
+_IS_SPACE = np.isin(np.arange(256), [ord(c) for c in SPACES])
+
+
+def word_bounds(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of concatenated texts start and end; no word goes over the end of a text."""
+    full = ~_IS_SPACE[raw]
+    edge = np.zeros(len(raw) + 1, dtype=bool)
+    edge[ends] = True
+    before, after = np.r_[False, full], np.r_[full, False]          # is there a word's byte before, and at, each place
+    return np.nonzero(after & (~before | edge))[0], np.nonzero(before & (~after | edge))[0]
+
+
+def sliding(values: np.ndarray, n: int, best) -> np.ndarray:
+    """best (np.minimum or np.maximum) of every n neighbours from each place on; shorter at the end."""
+    out, width = values.copy(), 1
+    while width < n:
+        step = min(width, n - width)
+        out[:len(out) - step] = best(out[:len(out) - step], out[step:])
+        width += step
+    return out
