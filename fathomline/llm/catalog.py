@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.staging import new_path
 
-from . import lines, mixing, packing, quality, records, simhash, substring, urls
+from . import lines, mixing, packing, quality, records, simhash, substring, suffixes, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_substring_dedup", substring.ORACLE)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_suffix_array_dedup", suffixes.ORACLE)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
