@@ -87,7 +87,9 @@ def filtered(docs: DataFrame) -> DataFrame:
     new = F.coalesce(F.col("quality.cleaned"), F.col("text"))
     changes = {"text": new} | ({"n_chars": F.when(F.col("quality.cleaned").isNull(), F.col("n_chars")).otherwise(F.length(new).cast("long"))}
                                if "n_chars" in docs.columns else {})
-    return judged(docs).where("quality.kept").withColumns(changes).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the row number keeps the optimizer from copying the rules into the filter, where they would run once for each use
+    seen = judged(docs).withColumn("seen", F.monotonically_increasing_id()).where("quality.kept AND seen >= 0")
+    return seen.withColumns(changes).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = f"""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.staging import staged
 
-from .common import id_or_last
+from .common import id_or_last, rows_numbered, settled
 
 DISTANCE = 3
 WORDS = 3
@@ -55,12 +55,12 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and the fingerprint of every row, as a signed 64-bit number."""
+    """row, doc_id and the fingerprint of every row of `docs` (row, doc_id, text), as a signed 64-bit number."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(made, "doc_id long, fp long")
+            got = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got.view(np.int64))], names=["row", "doc_id", "fp"])
+    return docs.select("row", "doc_id", "text").mapInArrow(made, "row long, doc_id long, fp long")
 
 
 def _roots(n: int, left: np.ndarray, right: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
@@ -205,22 +205,25 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, distance: int = DISTANCE, words: int = WORDS) -> DataFrame:
-    """Every row of `docs` (doc_id, text; other columns are ignored): doc_id, fp, component_id.
+    """Every row of `docs` (doc_id, text; other columns are ignored): row (its number), doc_id, fp, component_id, kept_row.
 
-    component_id is the smallest doc_id that links reach, the row's own included. A null text and one without words have
-    fingerprint zero, linked like any other. A null doc_id reads as the largest id in component_id. Rows with equal ids stay
-    rows of their own. An empty table stays empty."""
-    rows = staged(fingerprints(docs, words), "fingerprints")
+    component_id is the smallest doc_id that links reach, the row's own included; kept_row is the number of the one row that
+    stands for the group, of those with that id the first. A null text and one without words have fingerprint zero, linked like
+    any other. A null doc_id reads as the largest id. Rows with equal ids stay rows of their own. An empty table stays empty."""
+    texts = rows_numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ["doc_id", "text"])
+    rows = staged(fingerprints(texts, words), "fingerprints")
     # one row a fingerprint, told by its smallest id
-    reps = staged(rows.groupBy("fp").agg(F.min(id_or_last(F.col("doc_id"))).alias("rep")), "fingerprint_ids")
+    reps = staged(rows.groupBy("fp").agg(F.min(F.struct(id_or_last(F.col("doc_id")).alias("id"), "row")).alias("rep")), "fingerprint_ids")
     groups = staged(components(linked(reps.select("fp"), distance)), "groups")
     named = reps.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = staged(named.join(least, "root").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    classes = staged(named.join(least, "root").select("fp", F.col("least.id").alias("component_id"), F.col("least.row").alias("kept_row")), "classes")
+    return rows.join(classes, "fp").select("row", "doc_id", "fp", "component_id", "kept_row")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay: of each group the rows with the smallest doc_id. Of rows that share id and text, all stay."""
-    lost = grouped(docs).where(id_or_last(F.col("doc_id")) != F.col("component_id")).select(id_or_last(F.col("doc_id")).alias("lost_id")).distinct()
-    return docs.join(lost, id_or_last(docs["doc_id"]) == F.col("lost_id"), "left_anti")
+    """One row of `docs` for each group, the one with the smallest doc_id, with all its columns."""
+    docs = settled(docs)
+    kept = staged(grouped(docs).where("row = kept_row").select(F.col("row").alias("kept")), "kept_rows")
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.monotonically_increasing_id().alias("row"))
+    return numbered.join(kept, F.col("row") == F.col("kept"), "left_semi").select("given.*")
