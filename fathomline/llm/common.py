@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.functions.staging import staged
+
 SPACES = "\t\n\x0b\x0c\r "                      # fixed: what ends a word
 WORD = "[^\\x20\\x09-\\x0D]+"                   # fixed: a word
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,36 +72,49 @@ def random_table(seed: int, n: int = 256) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`df` itself if it is a plain scan of files, which deals its rows alike whenever it is read; anything else is written first."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    simple = all(line.lstrip(" +-:").startswith(("Project", "Filter", "Relation", "LocalRelation")) for line in plan.splitlines() if line.strip())
+    return df if simple else staged(df, "rows")
+
+
 def rows_numbered(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """`columns` of `docs` with a number for each row, `row`, the same whenever the result is read.
+    """`columns` of `docs` with a number for each row, `row`, the same whenever the result is read."""
+    return settled(docs.select(*columns)).withColumn("row", F.monotonically_increasing_id())
 
-    A table read from files is numbered by its scan; anything else is written first, since a shuffle may deal its rows anew.
-    """
-    from fathomline.functions.staging import staged
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    simple = all(line.lstrip(" +-:").startswith(("Project", "Filter", "Relation", "LocalRelation")) for line in plan.splitlines() if line.strip())
-    source = docs.select(*columns)
-    return (source if simple else staged(source, "rows")).withColumn("row", F.monotonically_increasing_id())
+
+SLICE_BYTES = 1 << 20
 
 
-def text_slices(batch, column: int, most_bytes: int = 4 << 20):
-    """The texts of a record batch in runs of about `most_bytes`, as one buffer of bytes each: first row, bytes, ends of the texts
-    (one more than texts, from 0). Nulls are empty; a longer text stands alone."""
+def batch_slices(batch, column: int, most_bytes: int = SLICE_BYTES):
+    """A record batch in runs of rows whose texts in `column` make about `most_bytes`: first row, the rows. A longer text stands
+    alone. What a task works out for each byte then stays small beside the batch."""
     import pyarrow as pa
-    import pyarrow.compute as pc
-    texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
-    n, (_, offsets, data) = len(texts), texts.buffers()
-    if not n:
+    texts = batch.column(column).cast(pa.large_string())
+    if not len(texts):
         return
-    ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset:texts.offset + n + 1]
-    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
     at = 0
-    while at < n:
-        to = min(n, max(at + 1, int(np.searchsorted(ends, ends[at] + most_bytes, side="right")) - 1))
-        yield at, raw[ends[at]:ends[to]], ends[at:to + 1] - ends[at]
+    while at < len(texts):
+        to = min(len(texts), max(at + 1, int(np.searchsorted(ends, ends[at] + most_bytes, side="right")) - 1))
+        yield at, batch.slice(at, to - at)
         at = to
 
 
+def text_slices(batch, column: int, most_bytes: int = SLICE_BYTES):
+    """The texts of a record batch by runs of rows, as one buffer of bytes each: first row, bytes, ends of the texts (one more than
+    texts, from 0). Nulls are empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    for at, part in batch_slices(batch, column, most_bytes):
+        texts = pc.fill_null(part.column(column).cast(pa.large_string()), "")
+        n, (_, offsets, data) = len(texts), texts.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset:texts.offset + n + 1]
+        raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+        yield at, raw[ends[0]:ends[-1]], ends - ends[0]
+
+
 _IS_SPACE = np.isin(np.arange(256), [ord(c) for c in SPACES])
 
 

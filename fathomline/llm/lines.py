@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.staging import staged
 
-from .common import Powers, id_or_last, mixed, random_table
+from .common import Powers, batch_slices, id_or_last, mixed, random_table
 
 LEAST_CHARS = 10
 BITS_PER_LINE = 12
 PROBES = 4
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 SEGMENT = 1 << 17            # bytes
 FAN_IN = 64
 SKETCH_TYPES = "segment int, part int, once binary, twice binary"
@@ -91,10 +91,10 @@ def _sketcher(bits: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = Filter(bits), Filter(bits)
         for batch in batches:
-            h = _candidates(batch, 0)[2]
-            seen, n = np.unique(h, return_counts=True)
-            twice.add(seen[(n > 1) | once.may_hold(seen)])
-            once.add(seen)
+            for _, part in batch_slices(batch, 0):
+                seen, n = np.unique(_candidates(part, 0)[2], return_counts=True)
+                twice.add(seen[(n > 1) | once.may_hold(seen)])
+                once.add(seen)
         pack, rows = zstandard.ZstdCompressor(level=1), []
         for k in range(0, bits // 8, SEGMENT):
             a, b = once.data[k:k + SEGMENT], twice.data[k:k + SEGMENT]
@@ -143,10 +143,11 @@ def repeated_lines(docs: DataFrame, twice: Filter) -> tuple[DataFrame, DataFrame
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Filter(bits, sent.value)
         for batch in batches:
-            keys, owner, h = _candidates(batch, 1)
-            hit = seen.may_hold(h)
-            digests = [hashlib.sha256(k.encode()).digest() for k in keys.filter(pa.array(hit)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0).take(pa.array(owner[hit]))], names=["digest", "doc"])
+            for _, part in batch_slices(batch, 1):
+                keys, owner, h = _candidates(part, 1)
+                hit = seen.may_hold(h)
+                digests = [hashlib.sha256(k.encode()).digest() for k in keys.filter(pa.array(hit, pa.bool_())).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), part.column(0).take(pa.array(owner[hit]))], names=["digest", "doc"])
 
     pairs = staged(docs.select(id_or_last(F.col("doc_id")).alias("doc"), "text").mapInArrow(suspects, "digest binary, doc long"), "suspects")
     held = pairs.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first")
@@ -191,11 +192,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def _applied(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    d, k = docs.alias("d"), drops.alias("k")
-    schema = docs.schema
-    both = d.join(k, id_or_last(F.col("d.doc_id")) == F.col("k.doc"), "left").select("d.*", F.col("k.drop").alias("drop"))
-    types = ", ".join([f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in schema.fields] + ["n_lines long", "n_dropped long"])
-    return both.mapInArrow(_rewritten(docs.columns.index("text"), docs.columns), types)
+    n, at = len(docs.columns), docs.columns.index("text")
+    doc_id = F.col(f"c{docs.columns.index('doc_id')}")
+    both = docs.toDF(*[f"c{k}" for k in range(n)]).join(drops, id_or_last(doc_id) == F.col("doc"), "left").select(*[f"c{k}" for k in range(n)], "drop")
+    types = ", ".join([f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields] + ["n_lines long", "n_dropped long"])
+    return both.mapInArrow(_rewritten(at, docs.columns), types)
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The documents with their texts rewritten and the columns they had; n_chars, where there is one, follows the text."""
+    out = deduplicated(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop("n_lines", "n_dropped")
 
 
 def digest_of(text: Column) -> Column:
