@@ -1,8 +1,8 @@
 """A count-min sketch whose counters stop at two, made per partition and merged: which keys may occur more than once.
 
-Rows of counters are cut into segments. A partition's segments are compressed; sketches merge segment by segment in levels of
+A partition holds its keys, HELD at most at a time, not the counters. Rows of counters are cut into segments. A partition's segments are compressed; sketches merge segment by segment in levels of
 FAN_IN. Only the places whose count reached two are sent on, a bit each. The width follows the number of keys up to MOST_WIDTH
-(2 x 2**27 counters, so at most 32 MB of bits); with more keys more are overestimated, none is lost.
+(DEPTH x 2**27 counters, so at most 48 MB of bits); with more keys more are overestimated, none is lost.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import mixed
 
-DEPTH = 2
+DEPTH = 3
 LEAST_WIDTH, MOST_WIDTH = 1 << 20, 1 << 27
 SEGMENT = 1 << 20
 FAN_IN = 64
+HELD = 2_000_000
 TYPES = "segment int, part int, counts binary"
-_SALTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
+_SALTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
 def width_for(keys: float) -> int:
@@ -36,14 +37,17 @@ def places(keys: np.ndarray, width: int) -> list[np.ndarray]:
         return [(mixed(keys + s) & np.uint64(width - 1)).astype(np.int64) for s in _SALTS]
 
 
-def count(counts: np.ndarray, keys: np.ndarray, width: int) -> None:
-    """Add keys to DEPTH x width counters that stop at two."""
-    for row, at in zip(counts, places(keys, width)):
+def segments(keys: np.ndarray, width: int) -> Iterator[tuple[int, bytes]]:
+    """The counters of `keys`, segment by segment where there is one above zero, compressed."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for row, at in enumerate(places(keys, width)):
         at.sort()
-        first = np.r_[True, at[1:] != at[:-1]]
-        more = np.nonzero(first)[0]
-        n = np.diff(np.r_[more, len(at)])
-        row[at[more]] = np.minimum(2, row[at[more]] + np.minimum(n, 2))
+        cuts = np.searchsorted(at, np.arange(0, width + SEGMENT, SEGMENT))
+        for k in np.nonzero(np.diff(cuts))[0].tolist():
+            cells, n = np.unique(at[cuts[k]:cuts[k + 1]] - k * SEGMENT, return_counts=True)
+            counts = np.zeros(SEGMENT, dtype=np.uint8)
+            counts[cells] = np.minimum(n, 2)
+            yield row * (width // SEGMENT) + k, pack.compress(counts.tobytes())
 
 
 class Repeats:
@@ -61,17 +65,21 @@ class Repeats:
 
 def _sketcher(width: int, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, pack, part = np.zeros((DEPTH, width), dtype=np.uint8), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
+        part, held, size = TaskContext.get().partitionId(), [], 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for segment, counts in segments(np.concatenate(held), width):
+                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([part], pa.int32()), pa.array([counts], pa.binary())], names=["segment", "part", "counts"])
+
         for batch in batches:
             for keys in keys_of(batch):
-                if len(keys):
-                    count(counts, keys, width)
-        flat = counts.ravel()
-        for k in range(0, len(flat), SEGMENT):
-            part_of = flat[k:k + SEGMENT]
-            if part_of.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // SEGMENT], pa.int32()), pa.array([part], pa.int32()), pa.array([pack.compress(part_of.tobytes())], pa.binary())],
-                                                 names=["segment", "part", "counts"])
+                held.append(keys)
+                size += len(keys)
+                if size >= HELD:
+                    yield from told()
+                    held, size = [], 0
+        if size:
+            yield from told()
     return sketch
 
 

@@ -24,7 +24,7 @@ from .common import Powers, mixed, random_table, rows_numbered, sliding, text_sl
 
 WINDOW = 35
 GRAM = 20
-HELD = 1_000_000             # suspects that are compared with each other before they are sent on
+HELD = 400_000              # suspects that are compared with each other before they are sent on
 _BYTES, _OF_BYTES, _OF_WORDS = random_table(1), Powers(0xA0761D6478BD642F), Powers(0xE7037ED1A0B428DB)
 
 
@@ -67,8 +67,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
 
         def told() -> pa.RecordBatch:
             row, spot = np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(spots) if spots else np.zeros(0, np.int64)
-            d = np.frombuffer(b"".join(digests), dtype="S16") if digests else np.zeros(0, dtype="S16")
-            pairs = np.frombuffer(d.tobytes(), dtype="<u8").reshape(-1, 2)
+            pairs = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
             order = np.lexsort((pairs[:, 1], pairs[:, 0]))
             s = pairs[order]
             new = np.r_[True, (s[1:] != s[:-1]).any(axis=1)] if len(s) else np.zeros(0, bool)
@@ -83,13 +82,14 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
             cut = np.r_[True, (np.diff(row[known]) != 0) | (np.diff(spot[known]) != 1)] if len(known) else np.zeros(0, bool)
             head = np.nonzero(cut)[0]
             run = np.diff(np.r_[head, len(known)])
-            raw = [digests[k] for k in np.r_[alone, lead].tolist()] + [None] * len(head)
+            # strings seen once have a place, those seen here twice have none; what is known already has no digest
+            said, blank = np.r_[alone, lead], np.zeros(len(head), dtype=bool)
+            a, b = (pa.array(np.r_[pairs[said, k].view(np.int64), np.zeros(len(head), np.int64)], mask=np.r_[np.zeros(len(said), bool), ~blank]) for k in (0, 1))
             where = pa.array(np.r_[row[alone], np.zeros(len(lead), np.int64), row[known[head]]],
-                             mask=np.r_[np.zeros(len(alone), bool), np.ones(len(lead), bool), np.zeros(len(head), bool)])
+                             mask=np.r_[np.zeros(len(alone), bool), np.ones(len(lead), bool), blank])
             return pa.RecordBatch.from_arrays(
-                [pa.array(raw, pa.binary()), pa.array(np.r_[np.ones(len(alone), np.int32), np.full(len(lead), 2, np.int32), np.zeros(len(head), np.int32)], pa.int32()), where,
-                 pa.array(np.r_[spot[alone], np.zeros(len(lead), np.int64), spot[known[head]]].astype(np.int32)),
-                 pa.array(np.r_[np.ones(len(alone) + len(lead), np.int64), run].astype(np.int32))], names=["digest", "n", "row", "spot", "run"])
+                [a, b, where, pa.array(np.r_[spot[alone], np.zeros(len(lead), np.int64), spot[known[head]]].astype(np.int32)),
+                 pa.array(np.r_[np.ones(len(said), np.int64), run].astype(np.int32))], names=["a", "b", "row", "spot", "run"])
 
         for batch in batches:
             numbers = batch.column(0).to_numpy()
@@ -120,10 +120,10 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
         if digests:
             yield told()
 
-    told = staged(texts.select("row", "text").mapInArrow(suspects, "digest binary, n int, row long, spot int, run int"), "windows")
-    total = F.sum("n").over(Window.partitionBy("digest"))
-    shared = told.where("digest IS NOT NULL").select("row", "spot", "run", total.alias("total")).where("total > 1 AND row IS NOT NULL")
-    marks = told.where("digest IS NULL").select("row", "spot", "run").unionByName(shared.select("row", "spot", "run"))
+    told = staged(texts.select("row", "text").mapInArrow(suspects, "a long, b long, row long, spot int, run int"), "windows")
+    total = F.sum(F.when(F.col("row").isNull(), 2).otherwise(1)).over(Window.partitionBy("a", "b"))
+    shared = told.where("a IS NOT NULL").select("row", "spot", total.alias("total")).where("total > 1 AND row IS NOT NULL")
+    marks = told.where("a IS NULL").select("row", "spot", "run").unionByName(shared.select("row", "spot", F.lit(1).alias("run")))
     return staged(marks.groupBy("row").agg(F.collect_list(F.struct("spot", "run")).alias("spots")), "spots")
 
 
