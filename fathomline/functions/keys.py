@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .guards import Refused, refuse
-from .ordered import ordered
 
 # fixed values: the closed vocabulary of pool names
 CHANNELS = ("physical", "nitrate", "carbon")
@@ -96,18 +95,13 @@ def content_hash(df: DataFrame, by: Sequence[str] = ("pool_id",), key: Sequence[
 def _chained_digest(df: DataFrame, by: list[str], order: Sequence[str], line: Column, glue: str, limit: int) -> DataFrame:
     """sha256 over the ordered lines of each group, as `n` and `digest`.
 
-    A digest runs over its lines in sequence. Groups above `limit` lines are therefore digested in consecutive
-    stretches of `limit`, and the digest is that of the stretches' digests: no task holds more than `limit` lines.
+    It runs over the lines in sequence, so a group is one task's; a group above `limit` lines is refused, since a digest that
+    changes its meaning with the size would be no identity. `content_hash` has no such bound.
     """
-    ranked = ordered(df.select(*by, *order, line.alias("_line")), by, list(order))
-    stretch = ranked.withColumn("_part", F.floor(F.col("rank") / limit)).groupBy(*by, "_part").agg(
-        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("rank", "_line"))).alias("_l"))
-    text = F.array_join(F.transform("_l", lambda s: s["_line"]), glue)
-    parts = stretch.select(*by, "_part", "n", F.sha2(text, 256).alias("_d"))
-    whole = parts.groupBy(*by).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("_part", "_d"))).alias("_p"))
-    digests = F.transform("_p", lambda s: s["_d"])
-    return whole.select(*by, "n", F.when(F.size("_p") == 1, digests[0]).otherwise(
-        F.sha2(F.array_join(digests, "\n"), 256)).alias("digest"))
+    lines = df.select(*by, *order, line.alias("_line"))
+    refuse(lines.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit), f"more than {limit} lines have no listed digest")
+    listed = lines.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(*order, "_line"))).alias("_l"))
+    return listed.select(*by, "n", F.sha2(F.array_join(F.transform("_l", lambda s: s["_line"]), glue), 256).alias("digest"))
 
 
 def listed_hash(df: DataFrame, by: Sequence[str] = ("pool_id",), key: Sequence[str] = EVENT_KEY,

@@ -11,14 +11,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .guards import Refused
+
 SETTING = "spark.checkpoint.dir"
 _written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; one of our own only where the session names none."""
+    """The folder named by `spark.checkpoint.dir`. Where the session names none, a local session gets one of its own; on a
+    cluster, where executors share no local folder, that is refused."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise Refused(f"{SETTING} must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(SETTING, folder)
     return folder.rstrip("/")

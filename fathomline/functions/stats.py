@@ -86,37 +86,39 @@ def _binomials(k, n, p) -> np.ndarray:
 
 
 def _kolmogorov(d: float, n: int) -> float:
-    """P(D_n >= d) of the one-sample two-sided test: exact by the Durbin matrix, its limit for long sheets."""
+    """P(D_n >= d) of the one-sample two-sided test, exact at every n.
+
+    The ordered sample is a Poisson process of rate n given n points. Its count must stay above t - nd and below t + nd;
+    it can leave only where a bound passes a whole number, so the distribution of the count goes from one such time to the next.
+    """
     if d <= 1 / (2 * n):
         return 1.0
     if d >= 1:
         return 0.0
-    if n > 2000:
-        x = d * (math.sqrt(n) + 1 / (6 * math.sqrt(n)))
-        return min(1.0, max(0.0, 2 * sum((-1) ** (j - 1) * math.exp(-2 * (j * x) ** 2) for j in range(1, 101))))
-    k = int(n * d) + 1
-    m, h = 2 * k - 1, k - n * d
-    i, j = np.indices((m, m))
-    H = (i - j + 1 >= 0).astype(float)
-    H[:, 0] -= h ** np.arange(1, m + 1)
-    H[m - 1, :] -= h ** np.arange(m, 0, -1)
-    if 2 * h - 1 > 0:
-        H[m - 1, 0] += (2 * h - 1) ** m
-    step = i - j + 1
-    with np.errstate(over="ignore"):
-        H /= np.exp(_ln_factorial(np.where(step > 0, step, 0)))
-    power, scale, base, base_scale, left = np.eye(m), 0, H, 0, n
-    while left:                                    # n-th power, scaled against overflow
-        if left & 1:
-            power, scale = power @ base, scale + base_scale
-            if power[k - 1, k - 1] > 1e140:
-                power, scale = power * 1e-140, scale + 140
-        base, base_scale = base @ base, 2 * base_scale
-        if base[k - 1, k - 1] > 1e140:
-            base, base_scale = base * 1e-140, base_scale + 140
-        left >>= 1
-    ln = math.log(power[k - 1, k - 1]) + scale * math.log(10) + float(_ln_factorial(n)) - n * math.log(n)
-    return min(1.0, max(0.0, 1.0 - math.exp(ln)))
+    c = n * d
+    least = [(m + c, 1, m + 1) for m in range(int(math.floor(n - c)) + 1)]         # from this time at least so many
+    most = [(j - c, 0, j - 1) for j in range(int(math.ceil(c)), n + 1)]            # up to this time at most so many
+    kernels: dict[float, np.ndarray] = {}
+    low, at, now, ln = 0, np.ones(1), 0.0, 0.0
+    for time, kind, bound in [*sorted(least + most), (float(n), 2, n)]:
+        step = round(time - now, 12)
+        if step > 0:
+            if step not in kernels:
+                k = np.arange(int(step + 12 * math.sqrt(step) + 25))
+                kernels[step] = np.exp(k * math.log(step) - step - _ln_factorial(k))
+            at = np.convolve(at, kernels[step])[:n - low + 1]
+        if kind == 1 and bound > low:
+            at, low = at[bound - low:], bound
+        elif kind == 0:
+            at = at[:max(0, bound - low + 1)]
+        total = at.sum()
+        if not total > 0:
+            return 1.0
+        at, ln, now = at / total, ln + math.log(total), time
+    if not low <= n < low + len(at) or at[n - low] <= 0:
+        return 1.0
+    inside = ln + math.log(at[n - low]) + float(_ln_factorial(n)) + n - n * math.log(n)
+    return min(1.0, max(0.0, -math.expm1(min(0.0, inside))))
 
 
 def _beta_cdf(x: float, a: float, b: float) -> float:
@@ -151,17 +153,17 @@ def _beta_quantile(q: float, a: float, b: float) -> float:
 
 def _rank_sum(u: float, n1: int, n2: int) -> float:
     """Two-sided Mann-Whitney p without ties: exact where a group has at most 8 rows, else the normal limit."""
-    if min(n1, n2) <= 8 and n1 * n2 <= 100_000:
-        ways = np.zeros(n1 * n2 + 1)
+    if min(n1, n2) <= 8:
+        # the ways to each u up to the observed tail: a Gaussian binomial coefficient, factor by factor
+        small, large, far = min(n1, n2), max(n1, n2), int(math.floor(min(u, n1 * n2 - u)))
+        ways = np.zeros(far + 1)
         ways[0] = 1.0
-        small, large = min(n1, n2), max(n1, n2)
-        for i in range(1, small + 1):              # Gaussian binomial coefficient, factor by factor
-            for s in range(len(ways) - 1, large + i - 1, -1):
-                ways[s] -= ways[s - large - i]
-            for s in range(i, len(ways)):
-                ways[s] += ways[s - i]
-        tail = ways[int(math.ceil(max(u, n1 * n2 - u))):].sum() / ways.sum()
-        return min(1.0, 2 * float(tail))
+        for i in range(1, small + 1):
+            for r in range(min(i, far + 1)):
+                ways[r::i] = np.cumsum(ways[r::i])
+            if large + i <= far:
+                ways[large + i:] -= ways[:far + 1 - large - i].copy()
+        return min(1.0, 2 * float(ways.sum()) / math.comb(n1 + n2, small))
     z = (max(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / math.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
     return min(1.0, math.erfc(z / math.sqrt(2)))
 

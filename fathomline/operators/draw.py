@@ -65,7 +65,10 @@ def draw_one_per_cluster(df: DataFrame, strata: DataFrame, seed: int,
     """
     by = list(by)
     require_drawable(strata, by)
-    c = cluster_sizes(df, strata, by).withColumn("_u", unit(seed, "cluster", *by, "wmo", "chunk"))
+    c = cluster_sizes(df, strata, by)
+    held = strata.select(*by, "frame_n", "draw_n").join(c.groupBy(*by).agg(F.sum("size").alias("rows")), by, "left")
+    refuse(held.where((F.col("draw_n") > 0) & (F.coalesce("rows", F.lit(0)) != F.col("frame_n"))), "strata whose frame does not hold the rows they say")
+    c = c.withColumn("_u", unit(seed, "cluster", *by, "wmo", "chunk"))
     c = hash_ordered(c, by, "_u", ["wmo", "chunk"], {"_s": F.col("size")})
     start = unit(seed, "start", *by)
     step = lambda s: F.ceil(F.col("draw_n") * s / F.col("frame_n") - start)
@@ -128,8 +131,10 @@ def calibration_draw(df: DataFrame, tiers: Sequence[tuple[str, Column, int]], se
     drawn = None
     for i, (tier, which, n) in enumerate(tiers):
         used = None if drawn is None else drawn.select(*by, "wmo").distinct()
-        rows = draw_controls(df.where(which), n, seed, f"tier{i}", by, used).withColumn("tier", F.lit(tier))
-        drawn = staged(rows if drawn is None else drawn.unionByName(rows), "tiers")
+        rows = staged(draw_controls(df.where(which), n, seed, f"tier{i}", by, used).withColumn("tier", F.lit(tier)), "tier")
+        short = df.select(*by).distinct().join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("drawn")), list(by), "left")
+        refuse(short.where(F.coalesce("drawn", F.lit(0)) < n), f"tier {tier}: fewer than {n} rows to draw")
+        drawn = rows if drawn is None else drawn.unionByName(rows)
     return drawn
 
 
@@ -185,7 +190,7 @@ def assemble(science: DataFrame, controls: DataFrame, seed: int, by: Sequence[st
     s = science.withColumn("control_arm", F.lit(TARGET)).withColumn("src", F.col(STRATUM))
     c = controls.withColumn("src", F.col("control_arm")).withColumn(STRATUM, F.col("control_arm"))
     rows = staged(s.unionByName(c, allowMissingColumns=True), "batch")
-    refuse(rows.groupBy(*by, *EVENT_KEY).count().where(F.col("count") > 1), "a candidate appears twice in one batch")
+    refuse(rows.groupBy(*by, *EVENT_KEY).count().where(F.col("count") > 1), "one batch would show a level twice")
     key = interleave(rows, seed, by)
     for c_name in ("latitude", "longitude"):
         if c_name not in key.columns:

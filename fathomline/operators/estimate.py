@@ -33,7 +33,7 @@ def _y() -> Column:
 def require_probabilities(rows: DataFrame) -> None:
     pi = F.col(PI)
     refuse(rows.where(~F.coalesce((pi > 0) & (pi <= 1), F.lit(False))).select(POOL, "wmo", PI),
-           "every row of a rate needs an inclusion probability in (0, 1]")
+           "rows whose inclusion probability is missing, not above 0 or above 1")
 
 
 def hajek_rate(rows: DataFrame, by: Sequence[str] = (POOL,)) -> DataFrame:
@@ -98,7 +98,7 @@ def stratum_counts(rows: DataFrame, frame_sizes: DataFrame) -> DataFrame:
 
 def require_known_strata(rows: DataFrame, frame_sizes: DataFrame) -> None:
     refuse(rows.select(POOL, STRATUM).distinct().join(frame_sizes.select(POOL, STRATUM), [POOL, STRATUM], "left_anti"),
-           "strata without a frame size")
+           "rows of strata with no frame size")
 
 
 def _variance_term() -> Column:
@@ -115,6 +115,8 @@ def stratified_rate(rows: DataFrame, frame_sizes: DataFrame) -> DataFrame:
     A stratum keeps its frame share as weight when uncertain rows drop out of it.
     """
     require_known_strata(rows, frame_sizes)
+    if "inclusion_probability" in rows.columns:
+        refuse(rows.where(F.col("inclusion_probability").isNull()).limit(1), "rows that no probability sample drew")
     return rate_from_counts(stratum_counts(rows, frame_sizes))
 
 
@@ -190,6 +192,8 @@ def precision_plan(rates: DataFrame, target: float = TARGET_REL, pace: float = S
 
 def drift_band(rows: DataFrame, frame_sizes: DataFrame) -> DataFrame:
     """The rate had the whole sitting read like its first half, or its second; a half empty in a stratum counts 0."""
+    refuse(rows.groupBy(POOL, STRATUM).agg(F.count_distinct("batch_id").alias("batches")).where("batches > 1"),
+           "a stratum drawn in several batches would be weighed once for each")
     sizes = frame_sizes.select(POOL, STRATUM, (F.col("frame_n") / F.sum("frame_n").over(Window.partitionBy(POOL))).alias("w"))
     one = lambda h: F.avg(F.when(F.col("half") == h, _y())).alias(h)
     per = rows.groupBy(POOL, "batch_id", STRATUM).agg(one("first"), one("second"))

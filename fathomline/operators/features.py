@@ -63,4 +63,4 @@ def require_covered(candidates: DataFrame, features: DataFrame) -> None:
 
 def first_floats(df: DataFrame, n: int) -> DataFrame:
     """A dry run's share: the rows of the first `n` floats."""
-    return df.join(F.broadcast(df.select("wmo").distinct().orderBy("wmo").limit(n)), "wmo", "left_semi")
+    return df.join(df.select("wmo").distinct().orderBy("wmo").limit(n), "wmo", "left_semi")

@@ -95,7 +95,7 @@ def grid_kind_earned(raw: DataFrame, kinds: DataFrame) -> DataFrame:
     `kinds(grid_kind, channels)` beside them."""
     have = (raw.where(F.col("value").isNotNull()).groupBy("wmo").agg(F.collect_set("channel").alias("_have")))
     # kinds is a handful of declared rows, so pairing it with the floats multiplies by that handful
-    fits = have.join(F.broadcast(kinds), F.size(F.array_except("channels", "_have")) == 0)
+    fits = have.join(kinds, F.size(F.array_except("channels", "_have")) == 0)
     return fits.groupBy("wmo").agg(
         F.max_by("grid_kind", F.struct(F.size("channels"), "grid_kind")).alias("grid_kind"))
 
@@ -144,7 +144,7 @@ def require_parents(pools: DataFrame) -> None:
 
 def nest(candidates: DataFrame, pools: DataFrame) -> DataFrame:
     """A child's candidates are kept only where the key is in its own parent."""
-    named = candidates.join(F.broadcast(pools.select("pool_id", "parent")), "pool_id", "left")
+    named = candidates.join(pools.select("pool_id", "parent"), "pool_id", "left")
     parents = candidates.select(F.col("pool_id").alias("parent"), *EVENT_KEY).distinct()
     top = named.where(F.col("parent").isNull())
     kept = named.where(F.col("parent").isNotNull()).join(parents, ["parent", *EVENT_KEY], "left_semi")

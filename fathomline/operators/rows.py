@@ -111,15 +111,11 @@ def median_smooth(df: DataFrame, channel: str, k: int, out: str | None = None, p
 
 
 def apply_alignment(df: DataFrame, rule: Mapping[str, str]) -> DataFrame:
-    """Features of one limb read like the other's: kept, negated, or swapped with their pair and negated."""
-    def one(c: str) -> Column:
-        r = rule.get(c, "keep")
-        if r == "flip":
-            return (-F.col(c)).alias(c)
-        if r.startswith("swap_negate:"):
-            return (-F.col(r.split(":", 1)[1])).alias(c)
-        return F.col(c)
-    return df.select(*[one(c) for c in df.columns])
+    """Features of one limb in the sense of the other's. A rule is `keep`, `flip` (negated), or `swap_negate:<feature>` (that
+    feature's values, negated); a feature without one is kept."""
+    parts = {c: rule.get(c, "keep").partition(":") for c in df.columns}
+    values = {c: F.col(partner or c) for c, (_, _, partner) in parts.items()}
+    return df.select(*[(values[c] if action == "keep" else F.negative(values[c])).alias(c) for c, (action, _, _) in parts.items()])
 
 
 def blind(df: DataFrame) -> DataFrame:

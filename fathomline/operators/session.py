@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.guards import refuse
 from ..functions.hashing import unit
 from ..functions.stats import (beta_quantile, binomial_p, chi2_tail, fisher_p, kolmogorov_p, rank_sum_p)
 from .draw import NEG_CTRL, POS_CTRL, TARGET
@@ -261,6 +262,8 @@ def calibration_report(sheet: DataFrame, reference: DataFrame, by: Sequence[str]
     """A calibration copy against its reference: PASS where kappa is above the mark, the base rate is on target
     and every reference row was decided. `reference` carries `by`, the key and `ref_label` (0/1)."""
     by = list(by)
+    for df, what in ((reference, "reference"), (sheet, "sheet")):
+        refuse(df.groupBy(*by, *key).count().where("count > 1"), f"keys that are twice on a {what}")
     m = reference.select(*by, *key, "ref_label").join(
         sheet.select(*by, *key, "label", F.lit(True).alias("_on_sheet")), [*by, *key], "left")
     dec = F.coalesce(F.col("label").isin(0, 1), F.lit(False))

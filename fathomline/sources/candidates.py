@@ -11,6 +11,9 @@ from ..functions.guards import Refused, refuse, require_columns
 from ..functions.keys import EVENT_KEY, content_hash, event_type
 
 
+SIDECAR = ".sidecar"
+
+
 def scan_candidates(spark: SparkSession, path: str, pool: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """One pool's list or all; the pool prunes partitions and the columns prune the scan."""
     df = spark.read.parquet(path)
@@ -29,7 +32,7 @@ def sidecar(df: DataFrame, source_digest: str | None = None) -> DataFrame:
 
 
 def write_candidates(df: DataFrame, path: str, source_digest: str | None = None, files_per_pool: int | None = None) -> DataFrame:
-    """Write the lists and return their sidecar.
+    """Write the lists, then their sidecar beside them, and return the sidecar as it was written.
 
     Rows are range-partitioned on (pool, key): a pool of any size spreads over as many files as it needs,
     each sorted by key, so key filters skip files and row groups.
@@ -38,7 +41,13 @@ def write_candidates(df: DataFrame, path: str, source_digest: str | None = None,
     parted = df.repartitionByRange(files_per_pool, *keys) if files_per_pool else df.repartitionByRange(*keys)
     (parted.sortWithinPartitions(*keys).write.mode("errorifexists").option("compression", "zstd")
      .partitionBy("pool_id").parquet(path))
-    return sidecar(df.sparkSession.read.schema(df.schema).parquet(path), source_digest)
+    sidecar(df.sparkSession.read.schema(df.schema).parquet(path), source_digest).coalesce(1).write.mode("errorifexists").json(f"{path}{SIDECAR}")
+    return read_sidecar(df.sparkSession, path)
+
+
+def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
+    """What was recorded when the lists at `path` were written."""
+    return spark.read.schema("pool_id string, n_rows long, spec_id string, content_sha256 string, source_digest string").json(f"{path}{SIDECAR}")
 
 
 def changed_lists(df: DataFrame, recorded: DataFrame, pools: DataFrame, source_digest: str | None = None) -> DataFrame:

@@ -47,7 +47,7 @@ def grid_kind_of(grids: DataFrame) -> DataFrame:
 def kinds_supporting(kinds: DataFrame, needs: DataFrame) -> DataFrame:
     """The kinds that carry every channel a pool's gate needs. `kinds(grid_kind, channels)`, `needs(pool_id, need)`."""
     # both sides are the declared kinds and pools, a handful of rows each
-    return (needs.join(F.broadcast(kinds), F.size(F.array_except("need", "channels")) == 0).select("pool_id", "grid_kind"))
+    return (needs.join(kinds, F.size(F.array_except("need", "channels")) == 0).select("pool_id", "grid_kind"))
 
 
 def source_fingerprint(files: DataFrame) -> DataFrame:
@@ -81,14 +81,18 @@ def probe_files(spark: SparkSession, files: DataFrame) -> DataFrame:
                     errors.append(None)
                 except Exception as exc:
                     errors.append(f"{type(exc).__name__}: {exc}")
-            yield pdf[["file_name"]].assign(error=errors)
+            yield pdf[["path"]].assign(error=errors)
 
     named = files.select("file_name", "path", "wmo", "grid_kind")
-    folders = [r[0] for r in named.select(F.regexp_replace("path", r"/[^/]+$", "").alias("d")).distinct().take(1000)]
-    content = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folders)
-               .select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content"))
-    errors = content.join(named.select("file_name"), "file_name", "left_semi").mapInPandas(probe, "file_name string, error string")
-    return named.join(errors, "file_name")
+    # one string a folder; files are told apart by their whole path
+    folders = [r[0] for r in named.select(F.regexp_replace("path", r"/[^/]+$", "").alias("d")).distinct().toLocalIterator()]
+    if not folders:
+        return named.withColumn("error", F.lit(None).cast("string"))
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folders).select("path", "content")
+    errors = content.join(named.select("path"), "path", "left_semi").mapInPandas(probe, "path string, error string")
+    # a listed file that is gone by now has failed too
+    return named.join(errors.withColumn("probed", F.lit(True)), "path", "left").select(
+        "file_name", "path", "wmo", "grid_kind", F.when(F.col("probed").isNull(), "the file is gone").otherwise(F.col("error")).alias("error"))
 
 
 def split_failures(df: DataFrame, pool_id: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -65,10 +65,14 @@ def read_sheets(sheet: DataFrame, key: DataFrame, by: Sequence[str] = ("batch_id
 
 
 def save_strata(frame: DataFrame, path: str) -> DataFrame:
-    """Which level of a drawn frame belongs to which stratum, kept because it can never be recut. Returns the sidecar."""
+    """Which level of a drawn frame belongs to which stratum, kept because it can never be recut. Writes the counts beside it and
+    returns them as written."""
     require_columns(frame, STRATA_COLUMNS)
+    spark = frame.sparkSession
     (frame.select(*STRATA_COLUMNS).write.mode("errorifexists").option("compression", "zstd").parquet(path))
-    return strata_counts(frame.sparkSession.read.parquet(path))
+    counts = strata_counts(spark.read.parquet(path))
+    counts.coalesce(1).write.mode("errorifexists").json(f"{path}.sidecar")
+    return spark.read.schema(counts.schema).json(f"{path}.sidecar")
 
 
 def strata_counts(frame: DataFrame) -> DataFrame:
@@ -87,10 +91,12 @@ def load_strata(spark: SparkSession, path: str, sidecar: DataFrame, draw_strata:
 
 
 def write_scores(df: DataFrame, path: str) -> DataFrame:
-    """Scores or features by pool. Returns row and column counts per pool."""
+    """Scores or features by pool. Writes row and column counts per pool beside them and returns them as written."""
     df.write.mode("errorifexists").option("compression", "zstd").partitionBy("pool_id").parquet(path)
     back = df.sparkSession.read.parquet(path)
-    return back.groupBy("pool_id").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
+    counts = back.groupBy("pool_id").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
+    counts.coalesce(1).write.mode("errorifexists").json(f"{path}.sidecar")
+    return df.sparkSession.read.schema(counts.schema).json(f"{path}.sidecar")
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -113,6 +113,35 @@ def test_a_list_is_what_its_sidecar_says(spark, saved):
         C.write_candidates(t, path)
 
 
+def test_a_list_that_changed_after_writing_is_refused(spark):
+    t = spark.range(60).select(F.lit("d/physical/obduction").alias("pool_id"), F.lit("spec1").alias("spec_id"), F.col("id").alias("wmo"),
+                               F.lit(1).alias("cycle_number"), F.lit(250.5).alias("pres_adjusted"))
+    t = K.event_key(t)
+    path = new_path(spark, "lists")
+    side = C.write_candidates(t, path, "src")
+    pools = side.select("pool_id", "spec_id")
+    # the data are swapped, the sidecar is not
+    kept = t.where("wmo < 59").unionByName(t.where("wmo = 0").withColumn("k_wmo", F.lit(77).cast("bigint")))
+    kept.write.mode("overwrite").partitionBy("pool_id").parquet(path)
+    for recorded in (side, C.read_sidecar(spark, path)):
+        with pytest.raises(Refused, match="keys"):
+            C.scan_verified(spark, path, recorded, pools, "d/physical/obduction", None, "src")
+    t.where("wmo < 30").write.mode("overwrite").partitionBy("pool_id").parquet(path)
+    with pytest.raises(Refused, match="row count"):
+        C.scan_verified(spark, path, side, pools, "d/physical/obduction", None, "src")
+
+
+def test_files_of_the_same_name_in_many_folders_are_all_probed(spark, tmp_path):
+    for k in range(1_030):
+        (tmp_path / f"d{k}").mkdir()
+        path = tmp_path / f"d{k}" / "7_core_fine.parquet"
+        path.write_bytes(b"no parquet") if k % 500 == 3 else pq.write_table(pa.table({"x": [k]}), path)
+    files = spark.createDataFrame([(f"7_core_fine.parquet", f"file:{tmp_path}/d{k}/7_core_fine.parquet", 7, "core") for k in range(1_031)],
+                                  "file_name string, path string, wmo int, grid_kind string")
+    got = S.probe_files(spark, files.where(f"path not like '%/d1030/%'"))
+    assert got.count() == 1_030 and {r.path.split("/")[-2] for r in got.where("error is not null").collect()} == {"d3", "d503", "d1003"}
+
+
 def test_a_list_scan_reads_one_pool_and_its_columns(spark, saved):
     plan = C.scan_candidates(spark, saved[1], "d/physical/obduction", ["k_wmo"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(pool_id" in plan and "ReadSchema: struct<k_wmo:bigint>" in plan
@@ -157,6 +186,9 @@ def test_strata_are_saved_once_and_checked(spark):
     assert W.load_strata(spark, path, side, side).count() == 10
     with pytest.raises(Refused, match="draw record"):
         W.load_strata(spark, path, side, side.withColumn("frame_n", F.col("frame_n") + 1))
+    t.limit(9).write.mode("overwrite").parquet(path)
+    with pytest.raises(Refused, match="sidecar"):
+        W.load_strata(spark, path, side, side)
 
 
 def test_report_and_model_round_trip(spark, tmp_path):
