@@ -31,9 +31,9 @@ WINDOW = 200
 GRAM = 32
 STEP = 8                     # bytes compared at once; WINDOW is a multiple
 PIECE = 4096                 # strings of one piece of text
-HELD = 16 << 20              # bytes of pieces that are compared with each other before they are sent on
-ARRAY = 8 << 20              # bytes of one suffix array, but for a run's own pieces
-HEAVY = 20_000
+HELD = 8 << 20               # bytes of pieces that are compared with each other before they are sent on
+ARRAY = 2 << 20              # bytes of one suffix array, but for a run's own pieces
+HEAVY = 5_000
 _BYTES, _OF_BYTES = random_table(2), Powers(0x8EBC6AF09C88C6E3)
 _OF_WINDOW = Powers(0x589965CC75374CC3)
 PIECES = "run long, n int, text binary, rows array<long>, spots array<int>"
