@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -14,7 +15,8 @@ def new_session() -> SparkSession:
              .config("spark.sql.shuffle.partitions", "8").config("spark.default.parallelism", "8")
              .config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
-             .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate())
+             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
