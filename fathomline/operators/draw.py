@@ -90,8 +90,10 @@ def draw_controls(df: DataFrame, n: int, seed: int, tag: str = "control", by: Se
     """`n` random floats of each group (all, where there are fewer) and one random row of each."""
     if exclude_floats is not None:
         df = df.join(exclude_floats, [*by, "wmo"], "left_anti")
-    one = dedup(df, [*by, "wmo"], [unit(seed, f"{tag}-row", *by, *EVENT_KEY), *EVENT_KEY])
-    return smallest(one, by, n, seed, f"{tag}-float", [*by, "wmo"]).drop("rank", "group_n")
+    # floats first: only rows of those drawn are looked at
+    floats = smallest(df.select(*by, "wmo").distinct(), by, n, seed, f"{tag}-float", [*by, "wmo"]).select(*by, "wmo")
+    rows = df.join(staged(floats, "control_floats"), [*by, "wmo"], "left_semi")
+    return dedup(rows, [*by, "wmo"], [unit(seed, f"{tag}-row", *by, *EVENT_KEY), *EVENT_KEY])
 
 
 def blind_controls(pos: DataFrame, neg: DataFrame, science: DataFrame, n: int, seed: int,

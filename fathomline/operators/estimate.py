@@ -191,12 +191,13 @@ def precision_plan(rates: DataFrame, target: float = TARGET_REL, pace: float = S
 
 
 def drift_band(rows: DataFrame, frame_sizes: DataFrame) -> DataFrame:
-    """The rate had the whole sitting read like its first half, or its second; a half empty in a stratum counts 0."""
-    refuse(rows.groupBy(POOL, STRATUM).agg(F.count_distinct("batch_id").alias("batches")).where("batches > 1"),
-           "a stratum drawn in several batches would be weighed once for each")
+    """The rate had the whole sitting read like its first half, or its second; a half empty in a stratum counts 0.
+
+    A stratum that several batches share is one mean over their rows, so that the weights of a pool add up to 1.
+    """
     sizes = frame_sizes.select(POOL, STRATUM, (F.col("frame_n") / F.sum("frame_n").over(Window.partitionBy(POOL))).alias("w"))
     one = lambda h: F.avg(F.when(F.col("half") == h, _y())).alias(h)
-    per = rows.groupBy(POOL, "batch_id", STRATUM).agg(one("first"), one("second"))
+    per = rows.groupBy(POOL, STRATUM).agg(one("first"), one("second"))
     t = per.join(sizes, [POOL, STRATUM])
     return t.groupBy(POOL).agg(*[F.sum(F.col("w") * F.coalesce(h, F.lit(0.0))).alias(f"rate_{h}_half") for h in ("first", "second")])
 

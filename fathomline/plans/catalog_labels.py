@@ -71,7 +71,7 @@ def _detections(spark, d):
 def _external(spark, d):
     det = _detections(spark, d)
     rich = B.table(spark, d, "customer").where(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("k_wmo"))
-    return L.external_labels(det, det.where(F.col("o_orderstatus") != "O"), det.join(rich, "k_wmo", "left_semi"))
+    return L.external_labels(det, det.where(F.col("o_orderstatus") != "O").withColumn("row", F.col("cycle_number")), det.join(rich, "k_wmo", "left_semi"))
 
 
 @query("external_labels", sql("", f"SELECT {_KEYS}, decision, source FROM ext", _EXT))

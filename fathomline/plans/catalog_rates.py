@@ -114,7 +114,7 @@ _W = "w AS (SELECT pool_id, design_stratum, frame_n / sum(frame_n) OVER (PARTITI
 
 
 @query("drift_band", sql("rows", """SELECT pool_id, round(sum(w * coalesce(a, 0)), 6) AS rate_first_half, round(sum(w * coalesce(b, 0)), 6) AS rate_second_half
-    FROM (SELECT pool_id, batch_id, design_stratum, avg(decision) FILTER (half = 'first') AS a, avg(decision) FILTER (half = 'second') AS b
+    FROM (SELECT pool_id, design_stratum, avg(decision) FILTER (half = 'first') AS a, avg(decision) FILTER (half = 'second') AS b
     FROM rows GROUP BY ALL) JOIN w USING (pool_id, design_stratum) GROUP BY ALL""", _W))
 def drift_band(spark, d):
     _, n, rows = _rows(spark, d)

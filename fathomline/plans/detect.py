@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from ..functions.keys import event_key, stamp
+from ..functions.staging import staged
 from ..operators import grid as G
 
 
@@ -16,5 +17,6 @@ def detect_study(grids: DataFrame, gates: Sequence[G.Gate], study_id: str, measu
     pools = spark.createDataFrame([(g.pool_id, g.parent, g.spec_id) for g in gates],
                                   "pool_id string, parent string, spec_id string")
     G.require_parents(pools)
-    flagged = event_key(G.unique_candidates(G.detect(grids, gates, measures)))
+    # the flagged levels are few and read three times; the grids are read once
+    flagged = staged(event_key(G.unique_candidates(G.detect(grids, gates, measures))), "flagged")
     return stamp(G.nest(flagged, pools), study_id)

@@ -87,12 +87,10 @@ def test_a_key_verified_twice_is_one_label(spark):
         L.external_labels(det, ver.drop("row"), det)
 
 
-def test_drift_bands_refuse_shared_strata(spark):
+def test_drift_bands_weigh_a_shared_stratum_once(spark):
     rows = spark.createDataFrame([("p", b, "s", h, 1) for b in ("b1", "b2", "b3") for h in ("first", "second")], "pool_id string, batch_id string, design_stratum string, half string, decision int")
     sizes = spark.createDataFrame([("p", "s", 10)], "pool_id string, design_stratum string, frame_n long")
-    with pytest.raises(Refused, match="several batches"):
-        E.drift_band(rows, sizes)
-    got = E.drift_band(rows.where("batch_id = 'b1'"), sizes).first()
+    got = E.drift_band(rows, sizes).first()
     assert got["rate_first_half"] == got["rate_second_half"] == 1.0
 
 
