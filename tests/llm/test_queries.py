@@ -122,7 +122,8 @@ def test_mix(spark, texts):
     assert (sums["size"] == sums.told).all()
     want = mixing.targets(sums["size"].tolist(), [(3, 1, 2)[k % 3] for k in range(len(sums))])
     assert np.allclose(sums.target, want) and np.isclose(sums.target.sum(), 1.5 * sums["size"].sum()) and (sums.target <= 2 * sums["size"]).all()
-    assert ((sums.taken - sums.target).abs() <= mixing.BLOCK).all()
+    # half a block of rounding, and the last block of a source may be short
+    assert ((sums.taken - sums.target).abs() <= 1.5 * mixing.BLOCK).all()
 
 
 def test_packing_capacity_is_a_parameter(spark):
