@@ -29,6 +29,7 @@ WEIGHTS = (3, 1, 2)
 TOTAL, MOST = 1.5, 2.0
 SHARD_SLOTS, MOST_SHARDS = 65_536, 1_024
 SLICE_ROWS = 5_000
+TASK_SLOTS = 200_000         # the plan cannot see how many slots a row stands for, so their number sets the tasks
 SEED = 20
 FEW_SOURCES = 100_000        # rows of a table that may be sent to every executor
 
@@ -134,7 +135,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
     first = np.cumsum(counts, axis=0) - counts
     drawn = [(k, s, int(first[k, s]), int(counts[k, s]), blocks[s], seed) for k, s in zip(*np.nonzero(counts))]
     drawn = [(int(a), int(b), c, d, e, f) for a, b, c, d, e, f in drawn]
-    slots = (spark.createDataFrame(drawn, "shard long, source_no long, first long, count long, n_blocks long, seed long").repartition(F.xxhash64("shard", "source_no"))
+    slots = (spark.createDataFrame(drawn, "shard long, source_no long, first long, count long, n_blocks long, seed long").repartition(max(1, -(-sum(owed) // TASK_SLOTS)), F.xxhash64("shard", "source_no"))
              .mapInArrow(_slots, "shard long, source_no long, pass long, block long, place long"))
     # the plan sees the few rows that slots are made from, so it must be told that neither side is small
     mix = slots.join(parts.hint("merge"), ["source_no", "block"]).select("shard", "place", "pass", "source_no", "block", "row", "first_word", "n_words")
