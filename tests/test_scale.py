@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathomline.functions import keys as K
+from fathomline.functions.guards import Refused
 from fathomline.functions import ordered as O
 from fathomline.functions.hashing import unit
 from fathomline.operators import allocation as A
@@ -161,14 +162,15 @@ def test_set_digest_ignores_order_and_copies(frame):
     assert K.listed_hash(k).first() == K.listed_hash(k.repartition(5)).first()
 
 
-def test_listed_digest_of_a_long_list_is_taken_in_stretches(frame):
+def test_listed_digest_of_a_long_list_is_that_of_all_its_lines(frame):
     import hashlib
     k = K.event_key(frame)
     lines = ["|".join(map(str, r)) for r in rows(k, *K.EVENT_KEY)]
-    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    assert K.listed_hash(k).first()["content_sha256"] == sha("\n".join(lines))
-    stretches = [sha("\n".join(lines[i:i + 4000])) for i in range(0, 9000, 4000)]
-    assert K.listed_hash(k, limit=4000).first()["content_sha256"] == sha("\n".join(stretches))
+    whole = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    assert K.listed_hash(k).first()["content_sha256"] == whole
+    assert K.listed_hash(k, limit=9000).first()["content_sha256"] == whole
+    with pytest.raises(Refused, match="listed digest"):          # one meaning at every size: none beyond the limit, not another
+        K.listed_hash(k, limit=4000)
 
 
 def test_dedup_of_many_copies(frame):
