@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from fathomline.plans import catalog
 from tests.conftest import SMALL
 from tools.check import compare, connect
 
@@ -13,7 +14,8 @@ def con():
 
 
 def test_every_query_has_its_sql_or_a_reason():
-    without = set(entry.queries()) - set(entry.oracle_sql())
+    without = set(catalog.QUERIES) - set(catalog.ORACLES)
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.ORACLES) <= set(entry.oracle_sql())
     # fitted trees, iterated draws, and tails SQL has no function for
     assert without == {"design_effect_rounds", "rate_arm", "mann_whitney_exact", "control_intervals", "control_position_verdicts",
                        "model_out_of_fold", "model_score", "model_transfer", "model_saved"}
@@ -23,7 +25,7 @@ def test_every_query_has_its_sql_or_a_reason():
 TOO_SMALL = {"design_effect_rounds", "rate_arm", "held_arm", "calibration_draw", "repass"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
     state, _, note = compare(spark, con, SMALL, name)
     if name in TOO_SMALL and state == "ERROR":
