@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.staging import new_path
 
-from . import lines, mixing, mtree, packing, quality, records, simhash, substring, suffixes, urls
+from . import lines, mixing, mtree, packing, phrases, quality, records, simhash, substring, suffixes, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_mtree_topk", mtree.ORACLE)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op11_phrase_collocations", phrases.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
