@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.staging import new_path
 
-from . import lines, mixing, mtree, packing, phrases, quality, records, simhash, substring, suffixes, urls
+from . import lines, mixing, mtree, packing, phrases, quality, records, simhash, substring, suffixes, trie, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_phrase_collocations", phrases.ORACLE)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", trie.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
