@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.staging import new_path
 
-from . import lines, mixing, mtree, packing, phrases, quality, records, simhash, substring, suffixes, trie, urls
+from . import lines, mixing, mtree, packing, phrases, quality, records, simhash, substring, suffixes, syncmers, trie, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_prefix_trie", trie.ORACLE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_document_fingerprints", syncmers.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
