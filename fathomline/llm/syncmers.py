@@ -1,6 +1,7 @@
 """Document fingerprints of closed syncmers, and how alike two fingerprints are when matched by position.
 
-Only DataFrame functions. A text is a sequence of units: words, and single characters of scripts written without spaces. Of every K
+Only DataFrame functions. A text is a sequence of units: words, and single characters from U+0E00 on, where
+the scripts without spaces stand. Of every K
 units in a row, the runs of INNER units inside are hashed; the K units are an anchor if the least of those stands at an edge, the
 first or the last. That hangs on the K units alone, not on their surroundings, so two texts that share a stretch share its anchors.
 A fingerprint lists each anchor once, by hash, with the unit where it first stands.
@@ -23,15 +24,14 @@ from .common import settled
 
 K, INNER = 8, 2
 HASH = 8                     # hexadecimal digits of an anchor's hash
-UNSPACED = ["Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"]        # scripts whose characters are units
+UNIT = "[^\\x20\\x09-\\x0D\\x{0E00}-\\x{10FFFF}]+|[\\x{0E00}-\\x{10FFFF}]"
 SLICE_BYTES = 16 << 20       # bytes of text of one slice of the order
 MOST_SLICES = 65_536
 KEY = ["k1", "k2", "k3", "k4"]
 
 
 def _units(text: Column) -> Column:
-    scripts = "".join(f"\\p{{Is{s}}}" for s in UNSPACED)
-    return F.regexp_extract_all(text, F.lit(f"[{scripts}]|[^{scripts}\\x20\\x09-\\x0D]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
 
 
 def with_anchors(df: DataFrame, texts: dict[str, str], k: int = K, inner: int = INNER) -> DataFrame:
@@ -42,7 +42,7 @@ def with_anchors(df: DataFrame, texts: dict[str, str], k: int = K, inner: int =
     names = list(enumerate(texts.items()))
     df = df.select(*cols, *[_units(F.col(t)).alias(f"u{j}") for j, (t, _) in names])
     run = lambda u, i, n: F.array_join(F.slice(u, i + 1, n), " ")                                     # noqa: E731
-    hashed = lambda u, n: lambda i: F.md5(run(u, i, n))                                               # noqa: E731
+    hashed = lambda u, n: lambda i: F.md5(F.concat_ws(" ", *[F.get(u, i + m) for m in range(n)]))                                               # noqa: E731
     till = lambda u, n: F.when(F.size(u) >= n, F.sequence(F.lit(0), F.size(u) - n)).otherwise(F.array().cast("array<int>"))         # noqa: E731
     df = df.select(*cols, *[f"u{j}" for j, _ in names],
                    *[F.transform(till(F.col(f"u{j}"), inner), hashed(F.col(f"u{j}"), inner)).alias(f"g{j}") for j, _ in names])
@@ -51,7 +51,7 @@ def with_anchors(df: DataFrame, texts: dict[str, str], k: int = K, inner: int =
     df = df.select(*cols, *[f"u{j}" for j, _ in names], *[F.filter(till(F.col(f"u{j}"), k), edge(F.col(f"g{j}"))).alias(f"i{j}") for j, _ in names])
     named = lambda h, p: F.struct(F.left(h, F.lit(HASH)).alias("h"), p.alias("p"))                    # noqa: E731
     anchor = lambda u: lambda i: named(F.md5(run(u, i, k)), i)                                        # noqa: E731
-    df = df.select(*cols, *[F.array_sort(F.when(F.size(f"i{j}") > 0, F.transform(f"i{j}", anchor(F.col(f"u{j}"))))
+    df = df.select(*cols, *[F.sort_array(F.when(F.size(f"i{j}") > 0, F.transform(f"i{j}", anchor(F.col(f"u{j}"))))
                                          .otherwise(F.array(named(F.md5(F.array_join(f"u{j}", " ")), F.lit(0))))).alias(f"s{j}") for j, _ in names])
     first = lambda s: lambda x, i: (i == 0) | (x["h"] != F.get(s, i - 1)["h"])                        # noqa: E731
     return df.select(*cols, *[F.filter(f"s{j}", first(F.col(f"s{j}"))).alias(out) for j, (_, out) in names])
@@ -66,10 +66,10 @@ def with_likeness(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame
     """`df` with the likeness, from 0 to 1, of pairs of anchor columns: for each of `pairs` a new column."""
     cols, names = df.columns, list(enumerate(pairs.items()))
     side = lambda a, s: F.transform(a, lambda x: F.struct(x["h"].alias("h"), F.lit(s).alias("s"), x["p"].alias("p")))               # noqa: E731
-    df = df.select(*cols, *[F.array_sort(F.concat(side(F.col(a), 0), side(F.col(b), 1))).alias(f"m{j}") for j, (_, (a, b)) in names])
+    df = df.select(*cols, *[F.sort_array(F.concat(side(F.col(a), 0), side(F.col(b), 1))).alias(f"m{j}") for j, (_, (a, b)) in names])
     met = lambda m: lambda i: F.get(m, i)["h"] == F.get(m, i + 1)["h"]                                # noqa: E731
     pair = lambda m: lambda i: F.struct(F.get(m, i)["p"].alias("p"), (F.get(m, i)["p"] - F.get(m, i + 1)["p"]).alias("o"))          # noqa: E731
-    df = df.select(*cols, *[F.array_sort(F.transform(F.filter(F.sequence(F.lit(0), F.size(f"m{j}") - 2), met(F.col(f"m{j}"))), pair(F.col(f"m{j}")))).alias(f"q{j}") for j, _ in names])
+    df = df.select(*cols, *[F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size(f"m{j}") - 2), met(F.col(f"m{j}"))), pair(F.col(f"m{j}")))).alias(f"q{j}") for j, _ in names])
     beside = lambda q: lambda x, i: F.coalesce(x["o"] == F.get(q, i - 1)["o"], F.lit(False)) | F.coalesce(x["o"] == F.get(q, i + 1)["o"], F.lit(False)) | (F.size(q) == 1)
     return df.select(*cols, *[(2.0 * F.size(F.filter(f"q{j}", beside(F.col(f"q{j}")))) / (F.size(a) + F.size(b))).alias(out) for j, (out, (a, b)) in names])
 
@@ -124,14 +124,13 @@ def fingerprints(docs: DataFrame, k: int = K, inner: int = INNER) -> DataFrame:
     return a.select("doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("changed")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-_SCRIPTS = "".join(f"\\p{{{s}}}" for s in UNSPACED)
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 o AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nt,
       coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS nid FROM d),
 e AS (SELECT *, t[:length(t) - length(t) // 2] || nt[:length(t) // 2] AS et FROM o),
 a AS (SELECT doc_id, 0 AS s, t FROM e UNION ALL SELECT doc_id, 1, et FROM e),
-u AS (SELECT doc_id, s, regexp_extract_all(t, '[{_SCRIPTS}]|[^{_SCRIPTS}\\x20\\x09-\\x0D]+') AS u FROM a),
+u AS (SELECT doc_id, s, regexp_extract_all(t, '{UNIT}') AS u FROM a),
 r AS (SELECT doc_id, s, u, i, md5(array_to_string(u[i + 1:i + {INNER}], ' ')) AS g FROM (SELECT *, unnest(range(0, len(u) - {INNER - 1})) AS i FROM u)),
 w AS (SELECT *, min(g) OVER x AS least, last_value(g) OVER x AS final, count(*) OVER x AS n
       FROM r WINDOW x AS (PARTITION BY doc_id, s ORDER BY i ROWS BETWEEN CURRENT ROW AND {K - INNER} FOLLOWING)),
