@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.guards import refuse
 from ..functions.hashing import unit
 from ..functions.ordered import ordered
+from ..functions.resample import binomial_counts, multinomial_totals, weighted_totals
 from ..functions.staging import staged
 from ..functions.stats import Z, jeffreys
 from .allocation import POOL, STRATUM
@@ -62,13 +63,14 @@ def _poisson_one(u: Column) -> Column:
     return out.otherwise(len(cuts))
 
 
-def cluster_bootstrap(rows: DataFrame, n_boot: int = N_BOOT, seed: int = 0, method: str = "multinomial",
+def cluster_bootstrap(rows: DataFrame, n_boot: int = N_BOOT, seed: int = 0, method: str = "counts",
                       by: Sequence[str] = (POOL,), group: str = "wmo") -> DataFrame:
     """The standard error of the weighted mean when whole floats are resampled.
 
-    Rows are first summed per float. `multinomial` draws as many floats as there are, with replacement, in
-    every replicate; `poisson` gives every float its own Poisson(1) count, which needs no second look-up of the
-    drawn float and so no shuffle of the replicates: the form for millions of floats.
+    Rows are first summed per float. As many floats as there are are drawn with replacement in every replicate:
+    `counts` draws how often each kind of float is taken, floats of equal sums being of one kind, first by share of
+    kinds, then within each share, so that no task sees more than about the square root of them; `multinomial` draws
+    the floats one by one. `poisson` gives every float its own Poisson(1) count.
     """
     require_probabilities(rows)
     by = list(by)
@@ -78,6 +80,8 @@ def cluster_bootstrap(rows: DataFrame, n_boot: int = N_BOOT, seed: int = 0, meth
         t = floats.withColumn("b", replicates(n_boot))
         t = t.withColumn("_t", _poisson_one(unit(seed, "poisson", *by, group, "b")))
         sums = t.groupBy(*by, "b").agg(F.sum(F.col("_t") * F.col("_wy")).alias("_wy"), F.sum(F.col("_t") * F.col("_w")).alias("_w"))
+    elif method == "counts":
+        sums = _drawn_by_counts(floats, by, n_boot, seed)
     else:
         placed = ordered(floats, by, [group])
         drawn = placed.select(*by, "rank", "group_n").withColumn("b", replicates(n_boot))
@@ -88,6 +92,30 @@ def cluster_bootstrap(rows: DataFrame, n_boot: int = N_BOOT, seed: int = 0, meth
     return sums.groupBy(*by).agg(F.stddev_samp(F.when(F.col("_w") > 0, F.col("_wy") / F.col("_w"))).alias("se"))
 
 
+def _drawn_by_counts(floats: DataFrame, by: list[str], n_boot: int, seed: int) -> DataFrame:
+    # sums in another order differ in their last bits; nine decimals make one kind of them
+    kinds = staged(floats.withColumns({c: F.round(c, 9) for c in ("_wy", "_w")}).groupBy(*by, "_wy", "_w").agg(F.count(F.lit(1)).alias("c")), "kinds")
+    most = kinds.groupBy(*by).count().agg(F.max("count")).first()[0] or 1
+    shares = kinds.withColumn("share", F.pmod(F.xxhash64("_wy", "_w"), F.lit(1 + int(most ** 0.5))))
+    cells = F.array_sort(F.collect_list(F.struct("_wy", "_w", "c")))
+    shares = staged(shares.groupBy(*by, "share").agg(F.sum("c").alias("c"), cells.alias("cells")), "shares")
+    parts = F.array_sort(F.collect_list(F.struct("share", "c")))
+    drawn = shares.groupBy(*by).agg(parts.alias("parts")).select(*by, "parts", multinomial_totals(
+        F.lit(seed), F.xxhash64(F.lit("shares"), *by), F.lit(n_boot), F.col("parts.c")).alias("drawn"))
+    drawn = drawn.select(*by, "drawn", F.posexplode("parts").alias("i", "part"))
+    drawn = drawn.select(*by, F.col("part.share").alias("share"), F.slice("drawn", F.col("i") * n_boot + 1, F.lit(n_boot)).alias("draws"))
+    x = shares.join(drawn, [*by, "share"]).select(*by, weighted_totals(
+        F.lit(seed), F.xxhash64(F.lit("kinds"), *by, "share"), "draws", F.col("cells.c"), F.col("cells._wy"), F.col("cells._w")).alias("x"))
+    each = x.select(*by, F.posexplode(F.arrays_zip(F.col("x.wy").alias("_wy"), F.col("x.w").alias("_w"))).alias("b", "y"))
+    return each.groupBy(*by, "b").agg(F.sum("y._wy").alias("_wy"), F.sum("y._w").alias("_w"))
+
+
+def _binomial_draws(n_boot: int, seed: int, tag: str, key: list[str], n: str, p: str) -> Column:
+    """An array of `n_boot` binomial counts for a row with this key."""
+    u = F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda b: unit(seed, tag, *key, b))
+    return binomial_counts(u, F.col(n).cast("long"), F.col(p).cast("double"))
+
+
 def stratum_counts(rows: DataFrame, frame_sizes: DataFrame) -> DataFrame:
     """Per stratum: rows, accepted, frame size and the stratum's weight in its pool."""
     counts = rows.groupBy(POOL, STRATUM).agg(F.count(F.lit(1)).alias("n_h"), F.sum(_y()).alias("a_h"))
@@ -142,18 +170,12 @@ def stratum_report(rows: DataFrame, frame_sizes: DataFrame) -> DataFrame:
 def stratified_bootstrap(rows: DataFrame, frame_sizes: DataFrame, n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
     """The standard error when rows are resampled within their stratum.
 
-    Verdicts are 0 or 1, so a resample of a stratum is a binomial count; drawing n_h rows and counting the
-    accepted ones is drawing n_h hash numbers and counting those below a_h / n_h.
+    Verdicts are 0 or 1, so a resample of a stratum is one binomial count; the work is strata x replicates.
     """
     counts = stratum_counts(rows, frame_sizes).select(POOL, STRATUM, "w", "n_h", "p_h")
-    # a span of draws at a time, so that a stratum of any size spreads over many rows
-    span = 1000
-    spans = counts.withColumn("b", replicates(n_boot)).withColumn(
-        "_lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_h") - 1, F.lit(span).cast("bigint"))))
-    tries = spans.withColumn("i", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + span, F.col("n_h")) - 1)))
-    hit = (unit(seed, "row", POOL, STRATUM, "b", "i") < F.col("p_h")).cast("bigint")
-    means = tries.groupBy(POOL, STRATUM, "b").agg((F.max("w") * F.sum(hit) / F.max("n_h")).alias("_m"))
-    return means.groupBy(POOL, "b").agg(F.sum("_m").alias("_m")).groupBy(POOL).agg(F.stddev_samp("_m").alias("se"))
+    draws = counts.select(POOL, "w", "n_h", F.posexplode(_binomial_draws(n_boot, seed, "row", [POOL, STRATUM], "n_h", "p_h")).alias("b", "k"))
+    means = draws.groupBy(POOL, "b").agg(F.sum(F.col("w") * F.col("k") / F.col("n_h")).alias("_m"))
+    return means.groupBy(POOL).agg(F.stddev_samp("_m").alias("se"))
 
 
 def stratified_bootstrap_limit(rows: DataFrame, frame_sizes: DataFrame) -> DataFrame:
@@ -249,9 +271,8 @@ def correction_error(rows: DataFrame, frame_sizes: DataFrame, cells: DataFrame,
     if n_boot is None:
         part = coeff.groupBy(POOL).agg(F.sqrt(F.sum(F.col("coeff") ** 2 * F.col("q") * (1 - F.col("q")) / F.col("n_c"))).alias("se_rejudge"))
     else:
-        tries = coeff.withColumn("b", replicates(n_boot)).withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_c"))))
-        hit = (unit(seed, "cell", POOL, "batch_id", "cell", "b", "i") < F.col("q")).cast("bigint")
-        sums = tries.groupBy(POOL, "batch_id", "cell", "b").agg((F.max("coeff") * F.sum(hit) / F.max("n_c")).alias("m"))
+        draws = coeff.select(POOL, "coeff", "n_c", F.posexplode(_binomial_draws(n_boot, seed, "cell", [POOL, "batch_id", "cell"], "n_c", "q")).alias("b", "k"))
+        sums = draws.groupBy(POOL, "b").agg(F.sum(F.col("coeff") * F.col("k") / F.col("n_c")).alias("m"))
         part = sums.groupBy(POOL, "b").agg(F.sum("m").alias("m")).groupBy(POOL).agg(F.stddev_samp("m").alias("se_rejudge"))
     return (rates.select(POOL, "se_design").join(part, POOL, "left")
             .withColumn("se_rejudge", F.coalesce("se_rejudge", F.lit(0.0)))

@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import refuse
-from ..functions.hashing import unit
+from ..functions.resample import kappa_limits
 from ..functions.stats import (beta_quantile, binomial_p, chi2_tail, fisher_p, kolmogorov_p, rank_sum_p)
 from .draw import NEG_CTRL, POS_CTRL, TARGET
-from .estimate import replicates
 
 # fixed values
 DRIFT_ALPHA = 0.01
@@ -243,17 +242,11 @@ def _kappa(confusion: DataFrame, by: list[str]) -> DataFrame:
 
 
 def kappa_ci(df: DataFrame, a: str, b: str, n_boot: int = 2000, seed: int = 0, by: Sequence[str] = SHEET) -> DataFrame:
-    """A bootstrap interval on kappa. A calibration sheet is a few dozen rows, so rows x replicates stays small."""
+    """A bootstrap interval on kappa: the confusion counts of a sheet are resampled, not its rows."""
     by = list(by)
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, "sample_id", F.col(a).alias("a"), F.col(b).alias("b"))
-    whole = Window.partitionBy(*by)
-    rows = rows.withColumn("i", F.row_number().over(whole.orderBy("sample_id")) - 1).withColumn("n", F.count(F.lit(1)).over(whole))
-    drawn = rows.select(*by, "i", "n").withColumn("r", replicates(n_boot))
-    drawn = drawn.select(*by, "r", F.floor(unit(seed, "kappa", *by, "r", "i") * F.col("n")).cast("int").alias("i"))
-    taken = drawn.join(rows.select(*by, "i", "a", "b"), [*by, "i"])
-    k = _kappa(taken.groupBy(*by, "r", "a", "b").agg(F.count(F.lit(1)).alias("c")), [*by, "r"])
-    q = F.percentile("kappa", F.array(F.lit(0.025), F.lit(0.975)))
-    return k.groupBy(*by).agg(q.alias("_q")).select(*by, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    sheets = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("a", "b", "c"))).alias("x"))
+    return sheets.select(*by, kappa_limits(F.lit(seed), F.xxhash64(F.lit("kappa"), *by), F.lit(n_boot), F.col("x.a"), F.col("x.b"), F.col("x.c")).alias("_q")).select(*by, "_q.lo", "_q.hi")
 
 
 def calibration_report(sheet: DataFrame, reference: DataFrame, by: Sequence[str] = SHEET,

@@ -11,7 +11,8 @@ from .bindings import sql, u
 from .rate import rate_report
 from .registry import query
 
-N_BOOT = 50
+DRAWS = 50                      # replicates of the row-by-row form, which is here to be checked by SQL; the others draw 2,000
+N_BOOT = E.N_BOOT
 
 
 def _rows(spark, d):
@@ -47,11 +48,16 @@ _FLOATS = """floats AS (SELECT pool_id, wmo, sum(decision / inclusion_probabilit
     row_number() OVER (PARTITION BY pool_id ORDER BY wmo) - 1 AS i, count(*) OVER (PARTITION BY pool_id) AS g FROM rows GROUP BY pool_id, wmo)"""
 
 
-@query("cluster_bootstrap", sql("rows", f"""SELECT pool_id, round(stddev_samp(m), 6) AS se FROM (SELECT d.pool_id, b, sum(f.wy) / sum(f.w) AS m FROM (
-    SELECT pool_id, b, CAST(floor({u(5, 'float', 'pool_id', 'b', 'i')} * g) AS BIGINT) AS i FROM floats, range({N_BOOT}) t(b)) d
+@query("cluster_bootstrap_draws", sql("rows", f"""SELECT pool_id, round(stddev_samp(m), 6) AS se FROM (SELECT d.pool_id, b, sum(f.wy) / sum(f.w) AS m FROM (
+    SELECT pool_id, b, CAST(floor({u(5, 'float', 'pool_id', 'b', 'i')} * g) AS BIGINT) AS i FROM floats, range({DRAWS}) t(b)) d
     JOIN floats f ON f.pool_id = d.pool_id AND f.i = d.i GROUP BY ALL) GROUP BY ALL""", _FLOATS))
+def cluster_bootstrap_draws(spark, d):
+    return E.cluster_bootstrap(_rows(spark, d)[2], DRAWS, 5, "multinomial")
+
+
+@query("cluster_bootstrap")
 def cluster_bootstrap(spark, d):
-    return E.cluster_bootstrap(_rows(spark, d)[2], N_BOOT, 5)
+    return E.cluster_bootstrap(_rows(spark, d)[2], seed=5)
 
 
 def _poisson_sql(x: str) -> str:
@@ -70,12 +76,18 @@ def cluster_bootstrap_poisson(spark, d):
     return E.cluster_bootstrap(_rows(spark, d)[2], N_BOOT, 5, "poisson")
 
 
-@query("stratified_bootstrap", sql("counts", f"""SELECT pool_id, round(stddev_samp(m), 6) AS se FROM (SELECT pool_id, b, sum(m) AS m FROM (
-    SELECT pool_id, design_stratum, b, max(w) * sum(CASE WHEN {u(3, 'row', 'pool_id', 'design_stratum', 'b', 'i')} < p_h THEN 1 ELSE 0 END) / max(n_h) AS m
-    FROM (SELECT *, unnest(range(n_h)) AS i FROM counts), range(20) t(b) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL"""))
+_LN_PMF = "lgamma(n_h + 1.0) - lgamma(k + 1.0) - lgamma(n_h - k + 1.0) + k * ln(p_h) + (n_h - k) * ln(1 - p_h)"
+
+
+@query("stratified_bootstrap", sql("counts", f"""SELECT pool_id, round(stddev_samp(m), 6) AS se FROM (SELECT pool_id, b, sum(w * k / n_h) AS m FROM (
+    SELECT q.pool_id, b, w, n_h, CASE WHEN p_h <= 0 THEN 0 WHEN p_h >= 1 THEN n_h ELSE k END AS k
+    FROM (SELECT *, {u(3, 'row', 'pool_id', 'design_stratum', 'b')} AS x FROM counts, range({E.N_BOOT}) t(b)) q
+    ASOF JOIN below ON below.pool_id = q.pool_id AND below.design_stratum = q.design_stratum AND q.x >= below.c) GROUP BY ALL) GROUP BY ALL""",
+    f"""below AS (SELECT pool_id, design_stratum, k, coalesce(sum(f) OVER (PARTITION BY pool_id, design_stratum ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+    FROM (SELECT *, CASE WHEN p_h <= 0 OR p_h >= 1 THEN 0 ELSE exp({_LN_PMF}) END AS f FROM (SELECT *, unnest(range(n_h + 1)) AS k FROM counts)))"""))
 def stratified_bootstrap(spark, d):
     _, n, rows = _rows(spark, d)
-    return E.stratified_bootstrap(rows, n, 20, 3)
+    return E.stratified_bootstrap(rows, n, seed=3)
 
 
 @query("stratified_bootstrap_limit", sql("counts", """SELECT pool_id, round(sqrt(sum(w * w * p_h * (1 - p_h) / n_h)), 6) AS se FROM counts GROUP BY ALL"""))

@@ -221,12 +221,9 @@ def kappa_many_classes(spark, d):
     return Q.kappa(t, "label", "other", ("batch_id",))
 
 
-@query("kappa_ci", sql("sheets", f"""SELECT sheet_id, round(quantile_cont(kappa, 0.025), 6) AS lo, round(quantile_cont(kappa, 0.975), 6) AS hi FROM (SELECT split_part(g, '~', 1) AS sheet_id, kappa FROM kap) GROUP BY ALL""",
-    f"""num AS (SELECT sheet_id, label AS a, second_label AS b, row_number() OVER (PARTITION BY sheet_id ORDER BY sample_id) - 1 AS i, count(*) OVER (PARTITION BY sheet_id) AS n
-    FROM sheets WHERE second_label IS NOT NULL), boot AS (SELECT d.sheet_id || '~' || d.r AS g, x.a, x.b FROM (SELECT sheet_id, r, CAST(floor({u(9, 'kappa', 'sheet_id', 'r', 'i')} * n) AS BIGINT) AS i
-    FROM num, range(20) t(r)) d JOIN num x ON x.sheet_id = d.sheet_id AND x.i = d.i), """ + _KAPPA.format(by="g", src="boot")))
+@query("kappa_ci")
 def kappa_ci(spark, d):
-    return Q.kappa_ci(B.sheets(spark, d), "label", "second_label", 20, 9)
+    return Q.kappa_ci(B.sheets(spark, d), "label", "second_label", seed=9)
 
 
 def binomial_sql(k: str, n: str, p: str) -> str:
