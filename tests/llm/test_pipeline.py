@@ -9,7 +9,8 @@ from fathomline.llm import mixing
 from fathomline.llm.common import table
 from tests.conftest import SMALL
 from tests.llm.test_edges import brute_lines
-from tests.llm.test_queries import assert_packed, brute_fingerprint, brute_groups
+from tests.llm.test_queries import assert_packed
+from tests.llm.test_similar import brute_kept
 
 
 @pytest.fixture(scope="module")
@@ -47,8 +48,7 @@ def test_lines(steps):
 
 
 def test_near_duplicates(steps):
-    ids = steps[2].doc_id.tolist()
-    assert sorted(steps[3].doc_id) == sorted(set(brute_groups([brute_fingerprint(t) for t in steps[2].text], ids)))
+    assert sorted(steps[3].doc_id) == brute_kept(list(zip(steps[2].doc_id.tolist(), steps[2].text.tolist())))
 
 
 def test_mix_meets_targets(steps):
