@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import EVENT_KEY
 from ..functions.staging import new_path, staged
 from ..operators import model as M
+from ..operators.boosting import NODES
 from ..operators.rows import feature_columns as numeric_columns
 from . import bindings as B
 from .bindings import DOWN, UP, sql, u
@@ -79,50 +80,73 @@ def alignment_rule(spark, d):
     return M.alignment_rule(source, target, ["price", "quantity", "d_min_res", "d_max_res"])
 
 
-SMALL = M.BoostedTrees(max_iter=5, step_size=0.3, max_depth=3)
-FEATURES = ("aou_rel_m1", "aou_rel_p1", "aou_min_res", "aou_max_res", "aou_res_at_det", "abs_sal_res_at_det", "abs_sal_rel_m1", "abs_sal_rel_p1")
+# the first split of the first tree: every cut between neighbouring values of every feature, the missing on either side
+_SPLIT = """one AS (SELECT decision AS y, [l_quantity, CASE WHEN l_discount > 0 THEN l_discount END, CASE WHEN l_tax > 0 THEN l_tax END]::DOUBLE[] AS x FROM frame WHERE decision < 2),
+    base AS (SELECT avg(y) AS p, count(*) AS n, sum(y) AS s FROM one),
+    vals AS (SELECT f, x[f + 1] AS v, sum(y) AS s, count(*) AS c FROM one, (VALUES (0), (1), (2)) k(f) GROUP BY ALL),
+    gone AS (SELECT f, coalesce(sum(s) FILTER (v IS NULL), 0) AS ms, coalesce(sum(c) FILTER (v IS NULL), 0) AS mc FROM vals GROUP BY f),
+    cuts AS (SELECT f, coalesce((v + lead(v) OVER w) / 2, 'inf'::DOUBLE) AS threshold, sum(s) OVER w AS s, sum(c) OVER w AS c FROM vals WHERE v IS NOT NULL WINDOW w AS (PARTITION BY f ORDER BY v)),
+    sides AS (SELECT f, threshold, b AS to_left, s + CASE WHEN b THEN ms ELSE 0 END AS ls, c + CASE WHEN b THEN mc ELSE 0 END AS lc, mc FROM cuts JOIN gone USING (f), (VALUES (false), (true)) t(b) WHERE mc > 0 OR NOT b),
+    sums AS (SELECT *, p * lc - ls AS lg, p * (1 - p) * lc AS lh, p * (n - lc) - (s - ls) AS rg, p * (1 - p) * (n - lc) AS rh FROM sides, base WHERE lc >= 20 AND n - lc >= 20),
+    gains AS (SELECT *, lg * lg / (lh + 1) + rg * rg / (rh + 1) - (p * n - s) * (p * n - s) / (p * (1 - p) * n + 1) AS gain FROM sums)"""
+
+
+@query("histogram_first_split", sql("frame", """SELECT f AS feature, round(CASE WHEN isinf(threshold) THEN NULL ELSE threshold END, 6) AS threshold, CASE WHEN mc > 0 THEN to_left ELSE lc >= n - lc END AS missing_left,
+    round(gain, 6) AS gain, lc::BIGINT AS n_left, (n - lc)::BIGINT AS n_right, round(-0.05 * lg / (lh + 1), 6) AS value_left, round(-0.05 * rg / (rh + 1), 6) AS value_right FROM gains
+    ORDER BY gain DESC, f, threshold, to_left LIMIT 1""", _SPLIT))
+def histogram_first_split(spark, d):
+    """The root of the first tree over all labelled rows, two of three features with missing values."""
+    none = lambda c: F.when(F.col(c) > 0, F.col(c))                                       # noqa: E731
+    t = _labelled(spark, d).select("decision", "l_quantity", none("l_discount").alias("discount"), none("l_tax").alias("tax"))
+    model = M.fit(t, ["l_quantity", "discount", "tax"], 1, M.HistogramTrees(max_iter=1, max_leaf_nodes=2))
+    nodes = spark.createDataFrame(model.nodes, NODES)
+    side = lambda k: nodes.where(f"tree = 0 AND node = {k}")                              # noqa: E731
+    root = side(0).select("tree", "feature", F.when(F.abs("threshold") < float("inf"), F.col("threshold")).alias("threshold"), "missing_left", "gain")
+    return (root.join(side(1).select("tree", F.col("n").alias("n_left"), F.col("value").alias("value_left")), "tree")
+            .join(side(2).select("tree", F.col("n").alias("n_right"), F.col("value").alias("value_right")), "tree").drop("tree"))
 
 
 def _training(spark, d):
-    """Candidates of the two physical pools with their features; a strong salinity signal is called real."""
+    """Candidates of the two physical pools with their features; a strong salinity signal is called real. Its size itself is no
+    feature, its neighbours' are."""
     t = window_table(spark, d).where(F.col("pool_id").isin(UP, DOWN))
     real = F.coalesce(F.abs("abs_sal_res_at_det") > 0.5, F.lit(False)).cast("int")
-    return staged(t.withColumn("decision", real), "training")
+    t = staged(t.withColumn("decision", real), "training")
+    return t, [c for c in numeric_columns(t) if c not in ("decision", "abs_sal_res_at_det")]
 
 
 @query("model_out_of_fold")
 def model_out_of_fold(spark, d):
     """Five refits on held-out floats, read as an exact AUC per pool."""
-    t = staged(M.evaluate(_training(spark, d), FEATURES, 5, 1, SMALL), "oof")
-    return M.auc(t, "oof", "decision")
+    t, features = _training(spark, d)
+    return M.auc(staged(M.evaluate(t, features, 5, 1), "oof"), "oof", "decision")
 
 
 @query("model_score")
 def model_score(spark, d):
-    t = _training(spark, d)
-    model = M.fit(t.where(F.col("pool_id") == UP), FEATURES, 1, SMALL)
-    s = M.score(model, t)
+    t, features = _training(spark, d)
+    s = M.score(M.fit(t.where(F.col("pool_id") == UP), features, 1), t)
     return s.groupBy("pool_id", "decision").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("score"))
 
 
 @query("model_transfer")
 def model_transfer(spark, d):
     """The upward model read on the downward limb, its features aligned first."""
-    t = _training(spark, d)
+    t, features = _training(spark, d)
     up, down = t.where(F.col("pool_id") == UP), t.where(F.col("pool_id") == DOWN)
-    rule = M.alignment_rule(up, down, [c for c in numeric_columns(up) if c in FEATURES])
-    scored = M.transfer_score(M.fit(up, FEATURES, 1, SMALL), down, rule, SMALL)
+    scored = M.transfer_score(M.fit(up, features, 1), down, M.alignment_rule(up, down, features))
     return M.auc(scored, "score_transfer", "decision")
 
 
 @query("model_saved")
 def model_saved(spark, d):
     """A saved model read back scores as the one that was saved."""
-    t = _training(spark, d)
-    model = M.fit(t, FEATURES, 1, SMALL)
+    t, features = _training(spark, d)
+    model = M.fit(t, features, 1)
+    before = staged(M.score(model, t), "before")
     path = new_path(spark, "model")
-    M.save(model, path, M.provenance(SMALL.name, FEATURES, 1, t, M.rho(M.score(model, t), "score", "decision").agg(F.avg("rho").alias("rho"))))
+    M.save(model, path, M.provenance(M.default_backend().name, features, 1, t, M.rho(before, "score", "decision").agg(F.avg("rho").alias("rho"))))
     again, record = M.load(spark, path)
-    both = M.score(again, M.score(model, t).withColumnRenamed("score", "before"))
+    both = M.score(again, before.withColumnRenamed("score", "before"))
     return both.groupBy("pool_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("score") - F.col("before"))).alias("largest_change"),
                                        F.lit(record["n_features"]).cast("bigint").alias("n_features"))
