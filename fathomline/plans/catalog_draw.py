@@ -30,15 +30,16 @@ def pressure_bands(spark, d):
 
 
 # the best monotone fit at a point is the least, over later ends, of the greatest mean that starts at or before it
-@query("isotonic_acceptance", sql("li", """SELECT x AS score, round(least(greatest(max(m), 0.005), 0.995), 6) AS p FROM (SELECT p.x, a.x AS a, min(m.m) AS m
-    FROM pts p JOIN pts a ON a.x <= p.x JOIN means m ON m.a = a.x AND m.b >= p.x GROUP BY ALL) GROUP BY x""",
+@query("isotonic_acceptance", sql("li", """SELECT x AS score, round(least(greatest(max(m), 0.005), 0.995), 6) AS p, any_value(n) AS n FROM (SELECT p.x, a.x AS a, min(m.m) AS m
+    FROM pts p JOIN pts a ON a.x <= p.x JOIN means m ON m.a = a.x AND m.b >= p.x GROUP BY ALL) JOIN (SELECT l_quantity AS x, count(*) AS n FROM li GROUP BY ALL) USING (x) GROUP BY x""",
     """pts AS (SELECT x, sum(y) AS s, count(*) AS n FROM (SELECT l_quantity AS x, CASE WHEN decision = 1 OR l_tax > 0.05 THEN 1.0 ELSE 0.0 END AS y
     FROM li WHERE decision < 2) GROUP BY ALL), means AS (SELECT i.x AS a, j.x AS b, sum(k.s) / sum(k.n) AS m FROM pts i JOIN pts j ON j.x >= i.x
     JOIN pts k ON k.x BETWEEN i.x AND j.x GROUP BY ALL)"""))
 def isotonic_acceptance(spark, d):
     t = B.lines(spark, d).withColumn("score", F.col("l_quantity"))
     y = F.when((F.col("decision") == 1) | (F.col("l_tax") > 0.05), 1.0).otherwise(0.0)
-    return A.isotonic_acceptance(t.where(F.col("decision") < 2).select("score", y.alias("y")), t.select("score").distinct()).select("score", "p")
+    pool = A.isotonic_acceptance(t.where(F.col("decision") < 2).select("score", y.alias("y")), t.select("score"))
+    return pool.groupBy("score", "p").agg(F.count(F.lit(1)).alias("n"))
 
 
 _TABLE = ("pool_id, design_stratum, frame_n, floats, round(score_min, 6) AS score_min, round(score_max, 6) AS score_max, round(p_raw, 6) AS p_raw, "
@@ -119,11 +120,16 @@ def compare_designs(spark, d):
     return t.select("pool_id", "n", (F.col("variance") * 1e6).alias("variance_ppm"), "vs_proportional", "vs_srs")
 
 
+def _many_floats(s):
+    """Parts stand for floats: of a hundred suppliers each would be read so often that no size meets the target."""
+    return s.withColumn("wmo", F.col("l_partkey"))
+
+
 @query("design_effect_rounds")
 def design_effect_rounds(spark, d):
-    s = B.strat(spark, d)
+    s = _many_floats(B.strat(spark, d))
     t = staged(B.strata(s).withColumn("p_plan", F.lit(0.13)), "table")
-    return plan.solve_with_design_effect(s, t, 0.5, SEED)[2]
+    return plan.solve_with_design_effect(s, t, 0.15, SEED)[2]
 
 
 @query("frame_sizes", sql("sizes", "SELECT pool_id, design_stratum, frame_n FROM sizes"))
@@ -278,9 +284,10 @@ def exclude_keys(spark, d):
     return P.exclude_keys(s, science).groupBy("pool_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-_TIERS = (("clear_TP", "decile = 9 AND decision = 1", 4), ("clear_FP", "decile <= 2 AND decision = 0", 3), ("clear_FP", "decile = 0 AND decision = 2", 3),
-          ("borderline", "decile BETWEEN 5 AND 8 AND decision = 1", 3), ("borderline", "decile BETWEEN 5 AND 8 AND decision = 0", 2),
-          ("borderline", "decile BETWEEN 5 AND 8 AND decision = 2", 2))
+# 12, 12 and 18 rows a pool
+_TIERS = (("clear_TP", "decile = 9 AND decision = 1", 12), ("clear_FP", "decile <= 2 AND decision = 0", 6), ("clear_FP", "decile = 0 AND decision = 2", 6),
+          ("borderline", "decile BETWEEN 5 AND 8 AND decision = 1", 9), ("borderline", "decile BETWEEN 5 AND 8 AND decision = 0", 5),
+          ("borderline", "decile BETWEEN 5 AND 8 AND decision = 2", 4))
 
 
 def _tier_sql() -> str:
@@ -357,16 +364,15 @@ def split_sessions(spark, d):
 
 
 @query("repass", sql("strat", f"""SELECT pool_id, k_wmo, k_cycle, k_pres, row_number() OVER (ORDER BY {u('copy_2', 'repass', 'k_wmo', 'k_cycle', 'k_pres')}, k_wmo, k_cycle, k_pres) - 1 AS sample_id
-    FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t4 UNION ALL SELECT * FROM t5)
-    WHERE pool_id = '{UP}'""", _tier_sql()))
+    FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t4 UNION ALL SELECT * FROM t5)""", _tier_sql()))
 def repass(spark, d):
-    t = P.calibration_draw(B.strat(spark, d), [(name, F.expr(cond), n) for name, cond, n in _TIERS], SEED).where(F.col("pool_id") == UP)
+    t = P.calibration_draw(B.strat(spark, d), [(name, F.expr(cond), n) for name, cond, n in _TIERS], SEED)
     t = t.withColumns({"event_type": event_type("pool_id"), "latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double")})
     return P.repass(t, "copy_2")[1].select("pool_id", *EVENT_KEY, "sample_id")
 
 
 def _arm(spark, d, which, **kw):
-    s = B.strat(spark, d).withColumn("previously_judged", F.col("decision") == 1).withColumn("candidate_id", candidate_id())
+    s = kw.pop("floats", lambda t: t)(B.strat(spark, d)).withColumn("previously_judged", F.col("decision") == 1).withColumn("candidate_id", candidate_id())
     s = s.withColumn("event_type", event_type("pool_id"))
     t = staged(B.strata(s).withColumn("p_plan", F.lit(0.13)), "table")
     pos, neg = _control_sources(s)
@@ -375,7 +381,7 @@ def _arm(spark, d, which, **kw):
 
 @query("rate_arm")
 def rate_arm(spark, d):
-    sheet, _, record = _arm(spark, d, plan.rate_arm, size=0.5)
+    sheet, _, record = _arm(spark, d, plan.rate_arm, size=0.15, floats=_many_floats)
     return record.select("batch_id", "pool_id", "role", "n_science", F.size("strata").alias("n_strata"))
 
 

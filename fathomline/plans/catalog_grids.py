@@ -124,12 +124,12 @@ def grid_kind_of(spark, d):
     return S.grid_kind_of(B.table(spark, d, "orders").select(F.col("o_custkey").alias("wmo"), F.col("o_orderpriority").alias("grid_kind")))
 
 
-@query("kinds_supporting", """WITH kinds AS (SELECT o_orderpriority AS grid_kind, list(DISTINCT o_orderstatus) AS channels FROM orders WHERE o_totalprice > 499000 GROUP BY ALL),
+@query("kinds_supporting", """WITH kinds AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS grid_kind, list(DISTINCT o_orderstatus) AS channels FROM orders GROUP BY ALL),
     needs AS (SELECT o_orderstatus AS pool_id, list(DISTINCT o_orderstatus) AS need FROM orders GROUP BY ALL)
     SELECT pool_id, grid_kind FROM needs JOIN kinds ON list_has_all(channels, need)""")
 def kinds_supporting(spark, d):
     o = B.table(spark, d, "orders")
-    kinds = o.where(F.col("o_totalprice") > 499000).groupBy(F.col("o_orderpriority").alias("grid_kind")).agg(F.collect_set("o_orderstatus").alias("channels"))
+    kinds = o.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("grid_kind")).agg(F.collect_set("o_orderstatus").alias("channels"))
     needs = o.groupBy(F.col("o_orderstatus").alias("pool_id")).agg(F.collect_set("o_orderstatus").alias("need"))
     return S.kinds_supporting(kinds, needs)
 

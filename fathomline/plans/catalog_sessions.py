@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
 from ..operators import session as Q
 from ..operators.estimate import pace as pace_of
 from ..operators.labels import calibration_asof
@@ -286,15 +287,29 @@ def acceptance_by_stratum(spark, d):
     return Q.acceptance_by(B.sheets(spark, d))
 
 
-@query("session_flags", sql("sheets", """SELECT batch_id, concat_ws(' | ', CASE WHEN na / nullif(nn, 0) > 0.2 THEN 'negative controls ' || na || '/' || nn || ' above the ceiling' END,
-    CASE WHEN ha > 0 THEN ha || ' of ' || hn || ' likely negatives accepted' END) AS flags FROM (SELECT batch_id, count(*) FILTER (label IN (0, 1)) AS nn,
-    count(*) FILTER (label = 1) AS na, count(*) FILTER (score * 10 >= 0.5) AS hn, count(*) FILTER (score * 10 >= 0.5 AND label = 1) AS ha FROM sheets WHERE control_arm = 'neg_ctrl' GROUP BY ALL)"""))
+_TREND = f"""trend AS (SELECT sheet_id, CASE WHEN n_accepted > 8 AND n_rejected > 8 THEN least(1, {_ERFC.format(x='x')}) END AS p FROM (SELECT *, (greatest(u, n_accepted * n_rejected - u)
+    - n_accepted * n_rejected / 2 - 0.5) / sqrt(greatest(n_accepted * n_rejected * (n_accepted + n_rejected + 1), 1) / 12) / sqrt(2) AS x FROM mw)),
+    ends AS (SELECT sheet_id, avg(label) FILTER (r <= greatest(1, floor((n - 1) / 4) + 1)) AS a, avg(label) FILTER (greatest(1, ceil((r - 1) * 4 / greatest(n - 1, 1))) = 4) AS b FROM (
+    SELECT sheet_id, label, row_number() OVER (PARTITION BY sheet_id ORDER BY sample_id) AS r, count(*) OVER (PARTITION BY sheet_id) AS n FROM sheets WHERE label IN (0, 1) AND control_arm = 'target') GROUP BY ALL)"""
+
+
+@query("session_flags", sql("sheets", """SELECT sheet_id AS batch_id, concat_ws(' | ', CASE WHEN p < 0.05 THEN 'acceptance moved with position: ' || CAST(round_even(a * 100, 0) AS BIGINT) || '% in the first quarter, '
+    || CAST(round_even(b * 100, 0) AS BIGINT) || '% in the last' END, CASE WHEN na / nullif(nn, 0) > 0.2 THEN 'negative controls ' || na || '/' || nn || ' above the ceiling' END,
+    CASE WHEN ha > 0 THEN ha || ' of ' || hn || ' likely negatives accepted' END) AS flags FROM trend LEFT JOIN ends USING (sheet_id) LEFT JOIN (SELECT sheet_id, count(*) FILTER (label IN (0, 1)) AS nn,
+    count(*) FILTER (label = 1) AS na, count(*) FILTER (score * 10 >= 0.5) AS hn, count(*) FILTER (score * 10 >= 0.5 AND label = 1) AS ha FROM sheets WHERE control_arm = 'neg_ctrl' GROUP BY ALL) USING (sheet_id)""",
+                            _MW + ", " + _TREND))
 def session_flags(spark, d):
-    neg = Q.negative_flags(B.sheets(spark, d).withColumn("score", F.col("score") * 10), by=("batch_id",))
-    none = F.lit(None).cast("double")
-    return Q.session_flags(neg.select("batch_id", none.alias("trend_p"), none.alias("accept_first"), none.alias("accept_last"),
-                                      F.col("n").alias("neg_n"), F.col("accepted").alias("neg_accepted"), F.col("n_high").alias("neg_high_n"),
-                                      F.col("accepted_high").alias("neg_high_accepted")))
+    """Every sitting with its trend, its first and last quarter and its negative controls. The exact p of sheets with at most eight
+    rows of a kind is tested apart (`mann_whitney_exact`) and gives no flag here."""
+    sheets = staged(B.sheets(spark, d), "sheets")
+    limit = (F.col("n_accepted") > 8) & (F.col("n_rejected") > 8)
+    trend = Q.mann_whitney(sheets).select("sheet_id", F.when(limit, F.col("p")).alias("trend_p"))
+    at = lambda k: F.max(F.when(F.col("quarter") == k, F.col("accept")))                  # noqa: E731
+    ends = Q.quarters(sheets).groupBy("sheet_id").agg(at(1).alias("accept_first"), at(4).alias("accept_last"))
+    neg = Q.negative_flags(sheets.withColumn("score", F.col("score") * 10), by=("sheet_id",))
+    neg = neg.select("sheet_id", F.col("n").alias("neg_n"), F.col("accepted").alias("neg_accepted"), F.col("n_high").alias("neg_high_n"), F.col("accepted_high").alias("neg_high_accepted"))
+    t = trend.join(ends, "sheet_id", "left").join(neg, "sheet_id", "left")
+    return Q.session_flags(t.withColumnRenamed("sheet_id", "batch_id"))
 
 
 @query("pace", """WITH e AS (SELECT *, lag(CASE WHEN event_type = 'view' THEN ts END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts) AS copy_ts FROM events)
