@@ -63,8 +63,9 @@ def judged(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     said = a.select("row", "given", "host", "path", F.explode_outer("hs").alias("xh"), "ps").select("*", F.explode_outer("ps").alias("xp"))
     said = said.select("row", "given", "host", "path", digest(F.col("xh"), F.col("xp")).alias("full"))
     known = r.select("v", "h", "p", digest(F.col("h"), F.col("p")).alias("r_full"))
-    met = said.join(known, (F.substring("full", 1, PREFIX_HEX) == F.substring("r_full", 1, PREFIX_HEX)) & (F.col("full") == F.col("r_full")), "left")
-    rank = F.when(F.col("h").isNotNull(), F.struct(F.length(F.concat("h", "p")), F.length("h"), F.col("v"), F.concat("h", "p").alias("rule")))
+    # rows meet on the short prefix alone; what met by chance is no rule that fits
+    met = said.join(known, F.substring("full", 1, PREFIX_HEX) == F.substring("r_full", 1, PREFIX_HEX), "left")
+    rank = F.when(F.col("full") == F.col("r_full"), F.struct(F.length(F.concat("h", "p")), F.length("h"), F.col("v"), F.concat("h", "p").alias("rule")))
     best = met.groupBy("row").agg(F.first("given").alias("given"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(rank).alias("best"))
     return best.select("given.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))
 
