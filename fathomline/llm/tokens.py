@@ -36,7 +36,11 @@ class Encoder(dict):
     def __init__(self, name: str = BYTE_BPE, remembered: int = REMEMBERED):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        # tokens that the vocabulary adds are found in a text before anything else; what is between them is encoded on its own
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: k for k, t in added.items()}
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.model = self.tokenizer.model
         self.names = _byte_names()
         self.remembered = remembered
@@ -54,13 +58,21 @@ class Encoder(dict):
         out = self[part] = array(self.kind, ids).tobytes()
         return out
 
+    def _between(self, text: str) -> bytes:
+        if len(text) < LONG_TEXT:
+            return b"".join(map(self.__getitem__, _PART.findall(text)))
+        return b"".join(self[m.group()] for m in _PART.finditer(text))
+
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=f"<u{self.width}")
-        if len(text) < LONG_TEXT:
-            raw = b"".join(map(self.__getitem__, _PART.findall(text)))
+        if self.cut is None or not self.cut.search(text):
+            raw = self._between(text)
+        elif not self.plain:
+            raw = array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         else:
-            raw = b"".join(self[m.group()] for m in _PART.finditer(text))
+            parts = self.cut.split(text)                  # the added tokens stand at odd places
+            raw = b"".join(array(self.kind, [self.added[x]]).tobytes() if k % 2 else self._between(x) for k, x in enumerate(parts))
         return np.frombuffer(raw, dtype=f"<u{self.width}")
 
 

@@ -27,6 +27,13 @@ def test_ids_of_odd_texts(text):
     assert coder.ids(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_a_text_are_the_librarys():
+    coder = tokens.Encoder()
+    for text in ("<|endoftext|>", "a<|endoftext|>b", "a <|endoftext|> b", "  <|endoftext|>  x\n", "<|endoftext|><|endoftext|>", "<|endoftext|", "it's<|endoftext|>'s, 12<|endoftext|>3"):
+        assert coder.ids(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert 50256 in coder.ids("a<|endoftext|>b").tolist()
+
+
 def test_long_text_takes_the_same_ids(monkeypatch):
     text = "Some words, and more of them.\n" * 50
     want = tokens.encoder().ids(text).tolist()

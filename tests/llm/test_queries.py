@@ -29,7 +29,6 @@ def texts(spark):
 @pytest.fixture(scope="module")
 def ids(texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return {k: t.encode(x or "", add_special_tokens=False).ids + [0] for k, x in texts.items()}
 
 
