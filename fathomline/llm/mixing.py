@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.staging import staged
 
-from .common import WORD, mixed, settled
+from .common import WORD, mixed, row_of, settled
 
 BLOCK = 64
 WEIGHTS = (3, 1, 2)
@@ -104,7 +104,8 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
     of any length are cut by blocks. Rows with equal doc_id and text are documents of their own. An empty table gives empty tables.
     """
     spark = docs.sparkSession
-    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("source").cast("string").alias("source"),
+    docs = settled(docs)
+    rows = staged(docs.select(row_of(docs).alias("row"), "doc_id", F.col("source").cast("string").alias("source"),
                               F.xxhash64("doc_id", "text").alias("h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()          # one row a source
     found.sort(key=lambda r: (r.source is None, r.source or ""))
@@ -160,7 +161,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows, mix = mixture(docs)
     cut = (mix.groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("cuts"), F.sum("n_words").alias("n"))
            .join(rows.select("row", "size"), "row").select("row", (F.col("n") == F.col("size")).alias("whole"), "cuts"))
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.monotonically_increasing_id().alias("row")).join(cut, "row")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), row_of(docs).alias("row")).join(cut, "row")
     d = d.select("given", "cuts", "whole", F.when(~F.col("whole"), F.regexp_extract_all("given.text", F.lit(WORD), 0)).alias("words"))
     text = F.when(F.col("whole"), F.col("given.text")).otherwise(F.array_join(F.flatten(F.transform(
         "cuts", lambda c: F.slice("words", c["first_word"].cast("int") + 1, c["n_words"].cast("int")))), " "))

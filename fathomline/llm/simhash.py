@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.staging import staged
 
-from .common import id_or_last, rows_numbered, settled
+from .common import id_or_last, row_of, rows_numbered, settled
 
 DISTANCE = 3
 WORDS = 3
@@ -225,5 +225,5 @@ def representatives(docs: DataFrame) -> DataFrame:
     """One row of `docs` for each group, the one with the smallest doc_id, with all its columns."""
     docs = settled(docs)
     kept = staged(grouped(docs).where("row = kept_row").select(F.col("row").alias("kept")), "kept_rows")
-    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.monotonically_increasing_id().alias("row"))
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), row_of(docs).alias("row"))
     return numbered.join(kept, F.col("row") == F.col("kept"), "left_semi").select("given.*")
