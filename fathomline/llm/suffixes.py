@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from . import sketch
 from .common import Powers, mixed, random_table, rows_numbered, sliding, text_slices
 
 WINDOW = 200
-GRAM = 32
+GRAM = 64
 STEP = 8                     # bytes compared at once; WINDOW is a multiple
 PIECE = 4096                 # strings of one piece of text
 HELD = 8 << 20               # bytes of pieces that are compared with each other before they are sent on
@@ -40,8 +41,9 @@ PIECES = "run long, n int, text binary, rows array<long>, spots array<int>"
 SPOTS = "row long, spot int, length int"
 
 
-def window_runs(raw: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of concatenated texts: where each string of `window` bytes starts, the hash of its least run; and all counted runs."""
+def window_runs(raw: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int = GRAM, counted: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of concatenated texts: where each string of `window` bytes starts, the hash of its least run; and, if `counted`, all runs
+    that are the least of some string."""
     n = len(raw)
     if n < window:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
@@ -54,9 +56,11 @@ def window_runs(raw: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: i
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
         whole[a:max(a, b - window + 1)] = True
     whole = whole[:n - window + 1]
+    first = np.nonzero(whole)[0]
+    if not counted:
+        return first, least[first], runs[:0]
     none = np.zeros(reach - 1, dtype=np.uint64)
     most = sliding(np.r_[none, np.where(whole, least, np.uint64(0)), none], reach, np.maximum)[:len(runs)]
-    first = np.nonzero(whole)[0]
     return first, least[first], runs[most == runs]
 
 
@@ -93,7 +97,7 @@ def direct_order(places: np.ndarray, words: np.ndarray, window: int, same: np.nd
     for depth in range(STEP, window, STEP):
         size = np.bincount(group) if len(group) else np.zeros(0, dtype=np.int64)
         active = size > 1
-        if depth % (4 * STEP) == 0:
+        if depth == STEP or depth % (4 * STEP) == 0:
             h = same[order]
             low, high = np.full(len(size), np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(len(size), dtype=np.uint64)
             np.minimum.at(low, group, h)
@@ -161,35 +165,44 @@ def shared_with_next(order: np.ndarray, words: np.ndarray, window: int = WINDOW)
     return out
 
 
-def repeated_strings(texts: list[bytes], weights: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """For each text, a flag for each of its strings of `window` bytes: does it start anywhere else, in these texts or, where a
-    text stands for several, in one of those?"""
-    sizes = np.array([len(x) for x in texts], dtype=np.int64)
-    raw = np.frombuffer(b"".join(x + b"\0" for x in texts), dtype=np.uint8)
-    starts = np.cumsum(sizes + 1) - sizes - 1
+def repeated_flags(data: np.ndarray, sizes: np.ndarray, weights: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts of `sizes` bytes, one after another in `data`: a flag for each place, a zero byte after every text included, does
+    the string of `window` bytes there start anywhere else, in these texts or, where a text stands for several (`weights`), in one
+    of those? And where each text starts among the flags."""
+    ends = np.cumsum(sizes + 1)
+    starts = ends - sizes - 1
+    inner = np.ones(len(data) + len(sizes), dtype=bool)
+    inner[ends - 1] = False
+    raw = np.zeros(len(inner), dtype=np.uint8)
+    raw[inner] = data
     t = raw.astype(np.int16) + 1
-    t[starts + sizes] = 0
+    t[ends - 1] = 0
     n_strings = np.maximum(0, sizes - window + 1)
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    offset = np.arange(len(raw)) - starts[owner]
-    is_start = offset < n_strings[owner]
+
+    def covered(first: np.ndarray, after: np.ndarray) -> np.ndarray:
+        edge = np.zeros(len(raw) + 1, dtype=np.int32)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, after, -1)
+        return np.cumsum(edge[:-1]) > 0
+
+    is_start = covered(starts, starts + n_strings)
     # after a text's last string, go on to the first suffix that is smaller than its successor
     small = np.nonzero(is_smaller(t))[0]
     last = (starts + n_strings)[n_strings > 0]
-    wanted = is_start.copy()
-    ends = small[np.searchsorted(small, last)]
-    extra = np.zeros(len(raw) + 1, dtype=np.int32)
-    np.add.at(extra, last, 1)
-    np.add.at(extra, ends + 1, -1)
-    wanted |= np.cumsum(extra[:-1]) > 0
-    order = suffix_order(raw, t, wanted, window)
+    order = suffix_order(raw, t, is_start | covered(last, small[np.searchsorted(small, last)] + 1), window)
     order = order[is_start[order]]
     equal = shared_with_next(order, _words(raw), window) >= window
-    again = (equal | np.r_[False, equal[:-1]]) if len(order) else np.zeros(0, dtype=bool)
     flags = np.zeros(len(raw), dtype=bool)
-    flags[order] = again
-    flags |= is_start & (weights[owner] > 1)
-    return [flags[a:a + k] for a, k in zip(starts.tolist(), n_strings.tolist())]
+    flags[order] = (equal | np.r_[False, equal[:-1]]) if len(order) else False
+    many = weights > 1
+    return flags | covered(starts[many], (starts + n_strings)[many]), starts
+
+
+def repeated_strings(texts: list[bytes], weights: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
+    """`repeated_flags` text by text, a flag for each of its strings."""
+    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    flags, starts = repeated_flags(np.frombuffer(b"".join(texts), dtype=np.uint8), sizes, np.asarray(weights), window)
+    return [flags[a:a + k] for a, k in zip(starts.tolist(), np.maximum(0, sizes - window + 1).tolist())]
 
 
 def _runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +228,7 @@ def _piecer(width: int, sent):
         for batch in batches:
             numbers = batch.column(0).to_numpy()
             for at, raw, ends in text_slices(batch, 1):
-                first, runs, _ = window_runs(raw, ends)
+                first, runs, _ = window_runs(raw, ends, counted=False)
                 hit = seen.may_repeat(runs)
                 first, runs = first[hit], runs[hit].view(np.int64)
                 if not len(first):
@@ -236,35 +249,51 @@ def _piecer(width: int, sent):
     return pieces
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by their run's hash: the places of the strings that occur again."""
-    held: list[tuple] = []
-    size = 0
-
-    def marks(rows: list[tuple]) -> pa.RecordBatch:
-        distinct: dict[bytes, int] = {}
-        which = [distinct.setdefault(r[2], len(distinct)) for r in rows]
-        weights = np.bincount(which, weights=[r[1] for r in rows], minlength=len(distinct))
-        runs = [_runs_of(f) for f in repeated_strings(list(distinct), weights)]
-        row, spot, length = [], [], []
-        for r, k in zip(rows, which):
-            start, run = runs[k]
-            if len(start):
-                row.append(np.repeat(r[3], len(start)))
-                spot.append((np.asarray(r[4])[:, None] + start[None, :]).ravel())
-                length.append(np.tile(run, len(r[4])))
-        got = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (row, spot, length)]
-        return pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int64)), pa.array(got[1].astype(np.int32)), pa.array(got[2].astype(np.int32))], names=["row", "spot", "length"])
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and how many each row has."""
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+
+
+def marks_of(pieces: pa.RecordBatch) -> pa.RecordBatch:
+    """row, spot and length of the strings that occur again in these pieces, in one suffix array."""
+    coded = pieces.column(2).dictionary_encode()
+    which, texts = coded.indices.to_numpy(), coded.dictionary.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[ends[0]:ends[-1]]
+    weights = np.bincount(which, weights=pieces.column(1).to_numpy(), minlength=len(texts))
+    flags, starts = repeated_flags(data, np.diff(ends), weights)
+    run, length = _runs_of(flags)
+    text = np.searchsorted(starts, run, side="right") - 1
+    run = run - starts[text]
+    n_runs = np.bincount(text, minlength=len(texts))
+    first_run = np.cumsum(n_runs) - n_runs
+    # every place of a piece has all runs of its text
+    rows, counts = _lists(pieces.column(3))
+    spots, _ = _lists(pieces.column(4))
+    text = np.repeat(which, counts)
+    many = n_runs[text]
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - first_run[text], many)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, many)), pa.array((np.repeat(spots, many) + run[at]).astype(np.int32)),
+                                       pa.array(length[at].astype(np.int32))], names=["row", "spot", "length"])
+
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces sorted by their run's hash: the places of the strings that occur again. The pieces of a run stay in one array."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
     for batch in batches:
-        for r in zip(*[c.to_pylist() for c in batch.columns]):
-            if size >= ARRAY and r[0] != held[-1][0]:
-                yield marks(held)
-                held, size = [], 0
-            held.append(r)
-            size += len(r[2])
+        if not batch.num_rows:
+            continue
+        runs, sizes = batch.column(0).to_numpy(), np.cumsum(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64))
+        at = 0
+        for k in np.nonzero(np.r_[runs[0] != last, runs[1:] != runs[:-1]])[0].tolist():              # a run begins at k
+            if size + (sizes[k - 1] if k else 0) - (sizes[at - 1] if at else 0) >= ARRAY:
+                yield marks_of(pa.concat_batches([*held, batch.slice(at, k - at)]))
+                held, size, at = [], 0, k
+        held.append(batch.slice(at))
+        size, last = size + int(sizes[-1] - (sizes[at - 1] if at else 0)), runs[-1]
     if held:
-        yield marks(held)
+        yield marks_of(pa.concat_batches(held))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
