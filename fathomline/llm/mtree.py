@@ -31,16 +31,18 @@ PAGE = 256
 NODE_ROWS = 65_536
 MOST_ROUTES, ROUTE_ROWS = 1_024, 4_096      # at most so many routing vectors, one for so many rows
 QUERY_BLOCK = 8_192
-LARGEST = 1 << 16            # components beyond might not fit the score
+LARGEST = 2.0 ** 500         # the squares of larger components are no doubles
+BEYOND = 2 ** 63 - 1         # stands, with its sign, for a score that does not fit
 PAGES = "dim int, route int, center binary, parent double, radius double, ids array<long>, rows array<long>, vectors binary, dists binary"
-SLACK = 1e-9
+SLACK, OF_LENGTHS = 1e-9, 1e-12             # what rounding may add to a bound: a share of it, and of the lengths that it comes from
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """row, vec_id and q, floor(SCALE x) of every component, of the rows whose id and components are all finite."""
     v = F.col(vector_col).cast("array<double>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))                                    # noqa: E731
-    q = F.transform("v", lambda x: F.when(F.abs(x) <= LARGEST, F.floor(x * SCALE)).otherwise(F.raise_error(F.lit("a component is too large")).cast("long")))
+    whole = lambda x: F.when(F.abs(x) < 2.0 ** 43, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE)     # noqa: E731 - no fraction is left there
+    q = F.transform("v", lambda x: F.when(F.abs(x) <= LARGEST, whole(x)).otherwise(F.raise_error(F.lit("a component is too large")).cast("double")))
     return (vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
             .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(~F.exists("v", bad)).select("row", "vec_id", q.alias("q")))
 
@@ -107,7 +109,7 @@ def build(q: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], dict[int, lis
         owners[len(r.q)].append((r.row, r.vec_id))
     centers = {d: _matrix(x) for d, x in routes.items()}
     sent = spark.sparkContext.broadcast(centers)
-    placed = staged(q.mapInArrow(_router(sent), "row long, vec_id long, q array<long>, dim int, route int"), "placed")
+    placed = staged(q.mapInArrow(_router(sent), "row long, vec_id long, q array<double>, dim int, route int"), "placed")
     sizes = placed.groupBy("dim", "route").agg(F.count("*").alias("c"))
     # a node that very many rows are nearest to is several, dealt by hash
     node = F.pmod(F.xxhash64("row", "vec_id"), F.ceil(F.col("c") / NODE_ROWS))
@@ -116,10 +118,17 @@ def build(q: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], dict[int, lis
 
 
 def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact inner products of integers held as doubles."""
-    if len(query) and float(np.abs(vectors).max(initial=0)) * float(np.abs(query).max()) * len(query) >= 2.0**53:
-        return vectors.astype(np.int64) @ query.astype(np.int64)
-    return (vectors @ query).astype(np.int64)
+    """Exact inner products of integers held as doubles; -BEYOND or BEYOND where they do not fit."""
+    if not len(query) or float(np.abs(vectors).max(initial=0)) * float(np.abs(query).max()) * len(query) < 2.0**53:
+        return (vectors @ query).astype(np.int64)
+    wide = np.maximum(np.abs(vectors).max(axis=1), 1) * max(1.0, float(np.abs(query).max())) * len(query) >= 2.0**62
+    out = np.zeros(len(vectors), dtype=np.int64)
+    if not wide.all():
+        out[~wide] = vectors[~wide].astype(np.int64) @ query.astype(np.int64)
+    ints = [int(x) for x in query] if wide.any() else []
+    for k in np.nonzero(wide)[0].tolist():
+        out[k] = min(BEYOND, max(-BEYOND, sum(int(x) * y for x, y in zip(vectors[k].tolist(), ints))))
+    return out
 
 
 class _Found:
@@ -142,29 +151,30 @@ def best_first(query: np.ndarray, own: int, k: int, floor: float, nodes: dict[in
 
     `floor`: a score that k other rows are known to reach. `counted`: gets the number of inner products."""
     size, found, heap, tie = float(np.sqrt(query @ query)), _Found(k, floor), [], 0
-    short = lambda bound: bound + SLACK * (abs(bound) + size) < found.floor                                  # noqa: E731
+    short = lambda bound, length: bound + SLACK * (abs(bound) + size) + OF_LENGTHS * size * length < found.floor        # noqa: E731
     for route, (vector, pages) in nodes.items():
-        at = float(query @ vector)
-        bound = at + size * max(p[1] + p[2] for p in pages)
+        at, far, long = float(query @ vector), max(p[1] + p[2] for p in pages), float(np.sqrt(vector @ vector))
+        bound = at + size * far + OF_LENGTHS * size * (long + far)
         heap.append((-bound, tie := tie + 1, at, pages, None))
     done = len(heap)
     heapq.heapify(heap)
     while heap:
         bound, _, at, pages, page = heapq.heappop(heap)
-        if short(-bound):
+        if short(-bound, 0):                                  # what lengths may add is in it
             break
         if page is None:
             for p in pages:
-                if short(at + size * (p[1] + p[2])):          # known from the parent alone
+                length = float(np.sqrt(p[0] @ p[0])) + p[1] + p[2]
+                if short(at + size * (p[1] + p[2]), length):  # known from the parent alone
                     continue
                 here = float(query @ p[0])
                 done += 1
-                if not short(here + size * p[2]):
-                    heapq.heappush(heap, (-(here + size * p[2]), tie := tie + 1, here, None, p))
+                if not short(here + size * p[2], length):
+                    heapq.heappush(heap, (-(here + size * p[2] + OF_LENGTHS * size * length), tie := tie + 1, here, None, p))
         else:
-            _, _, _, ids, rows, vectors, dists = page
-            reach = at + size * dists
-            some = np.nonzero((reach + SLACK * (np.abs(reach) + size) >= found.floor) & (rows != own))[0]
+            center, _, radius, ids, rows, vectors, dists = page
+            reach, length = at + size * dists, float(np.sqrt(center @ center)) + radius
+            some = np.nonzero((reach + SLACK * (np.abs(reach) + size) + OF_LENGTHS * size * length >= found.floor) & (rows != own))[0]
             if len(some):
                 found.add(products(vectors[some], query), ids[some], rows[some])
                 done += len(some)
@@ -196,7 +206,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     """query_id, rank, vec_id, score: the k best rows by inner product for every row of `vectors` where `is_query` (on vec_id) holds.
 
     A query's own row is no candidate; rows that share its id or its vector are. Rows with a null id, a null vector, or null or
-    non-finite components take no part; components beyond LARGEST stop the job. Vectors of another length than the query's are no candidates.
+    non-finite components take no part. Vectors of another length than the query's are no candidates. Scores are exact at any size; a
+    score among the k best that does not fit 64 bits stops the job, as does a component beyond LARGEST.
     Ties go to the smaller vec_id. With fewer than k candidates all are returned; an empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -221,7 +232,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
         part = staged(pages.mapInArrow(_searcher(sent, spread, k), "query_row long, query_id long, row long, vec_id long, score long"), "found")
         found = part if found is None else found.unionByName(part)
     w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
-    return found.select("query_id", F.row_number().over(w).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    fits = F.when(F.abs("score") < BEYOND, F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit 64 bits")).cast("long"))
+    return found.select("query_id", F.row_number().over(w).alias("rank"), "vec_id", "score").where(F.col("rank") <= k).select("query_id", "rank", "vec_id", fits.alias("score"))
 
 
 ORACLE = f"""
