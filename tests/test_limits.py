@@ -1,5 +1,6 @@
 """Both sides of every size at which something used to change, and inputs that gave wrong answers."""
 
+import hashlib
 import math
 from itertools import combinations
 
@@ -57,6 +58,23 @@ def test_a_listed_digest_means_one_thing(spark):
         K.listed_hash(t, limit=9).collect()
 
 
+def test_a_listed_digest_of_any_length(spark):
+    n = 1_000_001                                                   # one above the size that used to be refused
+    t = spark.range(n).select(F.when(F.col("id") < n, "p").alias("pool_id"), (F.col("id") % 7).alias("k_wmo"), F.col("id").alias("k_cycle"), F.lit(1).cast("long").alias("k_pres"))
+    few = spark.createDataFrame([(None, 3, 2, 1), (None, 3, 2, 1), ("q", 10, 1, 1), ("q", 9, 1, 1)], t.schema)
+    got = {r.pool_id: (r.n, r.content_sha256) for r in K.listed_hash(t.unionByName(few).repartition(5)).collect()}
+    digest = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()       # noqa: E731
+    assert got == {"p": (n, digest(f"{w}|{c}|1" for w in range(7) for c in range(w, n, 7))),
+                   "q": (2, digest(["9|1|1", "10|1|1"])), None: (1, digest(["3|2|1"]))}
+
+
+def test_a_joint_digest_of_any_number_of_sheets(spark):
+    t = spark.range(100_001).select(F.lit("d").alias("draw"), "id", F.sha2(F.col("id").cast("string"), 256).alias("sheet"))
+    got = K.joint_digest(t, ["draw"], "id", "sheet").first()
+    want = hashlib.sha256("".join(f"{hashlib.sha256(str(i).encode()).hexdigest()}\t{i}\n" for i in range(100_001)).encode()).hexdigest()
+    assert (got.sheets, got.digest) == (100_001, want)
+
+
 def test_second_looks_take_any_number_of_cells(spark):
     cells = [("b", f"c{k}", 1 / 7, 0.5, 1000 if k else 3) for k in range(7)]
     t = spark.createDataFrame(cells, "batch_id string, cell string, share double, q double, available long")
