@@ -94,7 +94,7 @@ def change_point(sheet: DataFrame, min_side: int = MIN_SIDE, by: Sequence[str] =
         F.count(F.lit(1)).alias("splits"),
         F.min_by(F.struct("sample_id", (F.col("a_before") / F.col("n_before")).alias("accept_before"),
                           (a_after / n_after).alias("accept_after"), "p_raw"),
-                 F.struct(F.round("p_raw", 12), "sample_id")).alias("s"))
+                 F.struct(F.floor(F.col("p_raw") * 1e12 + 0.5), "sample_id")).alias("s"))      # twelve places, rounded as doubles are
     return g.select(*by, "splits", "s.*").withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p_raw") * F.col("splits")))
 
 

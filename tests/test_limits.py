@@ -4,6 +4,9 @@ import hashlib
 import math
 from itertools import combinations
 
+import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from fathomline.operators import labels as L
 from fathomline.operators import model as M
 from fathomline.operators import session as Q
 from fathomline.operators.rows import apply_alignment
+from fathomline.plans.catalog_sessions import fisher_sql
 
 
 def one_sided(d, n):
@@ -51,6 +55,18 @@ def test_rank_sum_stays_exact_for_long_groups():
     assert S._rank_sum(0, 1, 500_000) == pytest.approx(2 / 500_001)
 
 
+def test_fisher_is_the_sql_to_the_last_bit():
+    """Splits of a sheet that are equally likely are ordered by the last bits of p, so these must be those of the SQL."""
+    rng = np.random.default_rng(0)
+    n = rng.integers(16, 121, 5_000)
+    before = rng.integers(8, n - 7)
+    a, c = rng.binomial(before, 0.3), rng.binomial(n - before, 0.3)
+    t = pd.DataFrame({"a": a, "b": before - a, "c": c, "d": n - before - c})                # noqa: F841
+    want = duckdb.sql(f"SELECT {fisher_sql('a', 'b', 'c', 'd')} AS p FROM t").df().p.to_numpy()
+    assert (S._fishers(*[t[x].to_numpy(np.int64) for x in "abcd"]) == want).all()
+    assert S._fishers(*[np.array([x]) for x in (1900, 2000, 150, 200)]) == pytest.approx(S._fisher_tails(S._ln_factorial, *[np.array([x]) for x in (1900, 2000, 150, 200)]), rel=1e-9)
+
+
 def test_a_listed_digest_means_one_thing(spark):
     t = spark.createDataFrame([("p", i, 1, i) for i in range(10)], "pool_id string, k_wmo long, k_cycle long, k_pres long")
     assert K.listed_hash(t, limit=10).first()["content_sha256"] == K.listed_hash(t).first()["content_sha256"]
