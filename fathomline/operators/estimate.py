@@ -23,6 +23,7 @@ from .allocation import POOL, STRATUM
 TARGET_REL = 0.15               # the relative half-width a rate aims at
 SECONDS_PER_PANEL = 28.7        # planning pace of a reviewer
 N_BOOT = 2000
+REPLICATES = 100                # that one task draws the shares of
 
 Y, PI = "decision", "inclusion_probability"
 
@@ -86,9 +87,8 @@ def cluster_bootstrap(rows: DataFrame, n_boot: int = N_BOOT, seed: int = 0, meth
         placed = ordered(floats, by, [group])
         drawn = placed.select(*by, "rank", "group_n").withColumn("b", replicates(n_boot))
         drawn = drawn.select(*by, "b", F.floor(unit(seed, "float", *by, "b", "rank") * F.col("group_n")).alias("rank"))
-        taken = drawn.groupBy(*by, "rank", "b").agg(F.count(F.lit(1)).alias("_t"))
-        t = taken.join(placed.select(*by, "rank", "_wy", "_w"), [*by, "rank"])
-        sums = t.groupBy(*by, "b").agg(F.sum(F.col("_t") * F.col("_wy")).alias("_wy"), F.sum(F.col("_t") * F.col("_w")).alias("_w"))
+        t = drawn.join(placed.select(*by, "rank", "_wy", "_w"), [*by, "rank"])
+        sums = t.groupBy(*by, "b").agg(F.sum("_wy").alias("_wy"), F.sum("_w").alias("_w"))
     return sums.groupBy(*by).agg(F.stddev_samp(F.when(F.col("_w") > 0, F.col("_wy") / F.col("_w"))).alias("se"))
 
 
@@ -99,12 +99,17 @@ def _drawn_by_counts(floats: DataFrame, by: list[str], n_boot: int, seed: int) -
     shares = kinds.withColumn("share", F.pmod(F.xxhash64("_wy", "_w"), F.lit(1 + int(most ** 0.5))))
     cells = F.array_sort(F.collect_list(F.struct("_wy", "_w", "c")))
     shares = staged(shares.groupBy(*by, "share").agg(F.sum("c").alias("c"), cells.alias("cells")), "shares")
+    # small tables, much work: they are spread over tasks by number, not by their size
+    tasks = int(floats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = F.array_sort(F.collect_list(F.struct("share", "c")))
-    drawn = shares.groupBy(*by).agg(parts.alias("parts")).select(*by, "parts", multinomial_totals(
-        F.lit(seed), F.xxhash64(F.lit("shares"), *by), F.lit(n_boot), F.col("parts.c")).alias("drawn"))
-    drawn = drawn.select(*by, "drawn", F.posexplode("parts").alias("i", "part"))
-    drawn = drawn.select(*by, F.col("part.share").alias("share"), F.slice("drawn", F.col("i") * n_boot + 1, F.lit(n_boot)).alias("draws"))
-    x = shares.join(drawn, [*by, "share"]).select(*by, weighted_totals(
+    drawn = shares.groupBy(*by).agg(parts.alias("parts")).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(REPLICATES))))
+    drawn = drawn.withColumn("n", F.least(F.lit(REPLICATES), F.lit(n_boot) - F.col("first"))).repartition(tasks, *by, "first")
+    drawn = drawn.select(*by, "first", "n", "parts", multinomial_totals(
+        F.lit(seed), F.xxhash64(F.lit("shares"), *by), "first", "n", F.col("parts.c")).alias("drawn"))
+    drawn = drawn.select(*by, "first", "n", "drawn", F.posexplode("parts").alias("i", "part"))
+    drawn = drawn.select(*by, F.col("part.share").alias("share"), F.struct("first", F.slice("drawn", F.col("i") * F.col("n") + 1, F.col("n")).alias("draws")).alias("d"))
+    drawn = drawn.groupBy(*by, "share").agg(F.flatten(F.array_sort(F.collect_list("d"))["draws"]).alias("draws"))
+    x = shares.join(drawn, [*by, "share"]).repartition(tasks, *by, "share").select(*by, weighted_totals(
         F.lit(seed), F.xxhash64(F.lit("kinds"), *by, "share"), "draws", F.col("cells.c"), F.col("cells._wy"), F.col("cells._w")).alias("x"))
     each = x.select(*by, F.posexplode(F.arrays_zip(F.col("x.wy").alias("_wy"), F.col("x.w").alias("_w"))).alias("b", "y"))
     return each.groupBy(*by, "b").agg(F.sum("y._wy").alias("_wy"), F.sum("y._w").alias("_w"))

@@ -1,6 +1,7 @@
 """Resampling by counts: against the distributions' own sums, and error bars against their closed forms."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -29,6 +30,27 @@ def test_binomials_of_large_counts_and_multinomials():
     assert np.cov(got)[0, 1] == pytest.approx(-10 * 0.5 * 0.1, abs=0.03) and got[3].var() == pytest.approx(10 * 0.4 * 0.6, rel=0.04)
 
 
+@pytest.mark.parametrize("top, p", [(600, 0.002), (360_000, 0.0016), (900, 0.5), (40, 0.97)])
+def test_many_sizes_step_to_the_same_counts(monkeypatch, top, p):
+    n, u = np.arange(top - 40, top + 1).repeat(50), R.uniforms(1, 2, np.arange(1), 41 * 50)[0]
+    start = time.perf_counter()
+    got = R.binomials(u, n, p)
+    took = time.perf_counter() - start
+    monkeypatch.setattr(R, "SIZES", 10**9)                          # one size after the other
+    assert (R.binomials(u, n, p) == got).all() and took < 1
+
+
+def test_a_resample_by_shares_is_spread_over_tasks(spark):
+    """Twenty thousand floats of different sums: the draws of 2,000 replicates took minutes in one task."""
+    t = spark.range(20_000).select(F.lit("p").alias("pool_id"), F.col("id").alias("wmo"), F.when(F.col("id") % 3 == 0, 1).otherwise(0).alias("decision"),
+                                   (1 / (1 + F.col("id") / 20_000)).alias("inclusion_probability"))
+    w, y = 1 + np.arange(20_000) / 20_000, np.arange(20_000) % 3 == 0
+    start = time.perf_counter()
+    got = E.cluster_bootstrap(t).first()["se"]
+    assert time.perf_counter() - start < 60
+    assert got == pytest.approx(math.sqrt(((w * (y - (w * y).sum() / w.sum())) ** 2).sum()) / w.sum(), rel=0.07)
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     t = spark.range(4_000).select(F.lit("p").alias("pool_id"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("design_stratum"), (F.col("id") % 700).alias("wmo"),
