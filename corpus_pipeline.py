@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: a similarity of 0.8 or more on shingles of five words."""
+    """One document of each group of near-duplicates: a similarity of 0.8 or more on shingles of five words, found by SimHash first."""
     return similar.representatives(docs, SIMILARITY, SHINGLE_WORDS)
 
 

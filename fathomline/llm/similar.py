@@ -1,7 +1,8 @@
-"""Groups of texts whose sets of word shingles are similar: MinHash bands find pairs, the sets themselves confirm them.
+"""Groups of texts whose sets of word shingles are similar: SimHash and MinHash bands find pairs, the sets themselves confirm them.
 
-A 64-bit SimHash cannot tell a similarity of 0.8: such a pair differs in about ten bits, and balls of that size hold most of the
-corpus. Here each distinct set of shingles gets BANDS keys, each of as many least hashes as still let a pair at the threshold miss
+Fingerprints of 64 bits that differ in at most three are found first, by the method of `simhash`, and their texts compared: what is
+similar is contracted before any other round. A SimHash alone cannot tell a similarity of 0.8: such a pair differs in about ten
+bits, and balls of that size hold most of the corpus. So the rest is found by bands: each distinct set of shingles gets BANDS keys, each of as many least hashes as still let a pair at the threshold miss
 all keys in less than MISSED of the cases (five at 0.8: 3 in a million). Sets that share a key are compared shingle by shingle.
 
 A key is never turned into all its pairs. In a first round each member meets one leader, the least of those of its keys; what is
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from fathomline.functions.staging import staged
 
 from .common import Powers, id_or_last, mixed, random_table, row_of, rows_numbered, settled
-from .simhash import components
+from .simhash import components, fingerprints, linked
 
 BANDS = 32
 MISSED = 1e-5
@@ -163,6 +164,15 @@ def links_between(pairs: DataFrame, sketched: DataFrame, texts: DataFrame, simil
     return staged(sure.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")), "similar")
 
 
+def fingerprint_pairs(texts: DataFrame, words: int) -> DataFrame:
+    """Pairs (leader, node) of rows of `texts` (row, id, text) that keep together all whose SimHashes differ in at most three bits."""
+    prints = staged(fingerprints(texts.select("row", F.col("id").alias("doc_id"), "text"), words).select("row", "fp"), "fingerprints")
+    reps = staged(prints.groupBy("fp").agg(F.min("row").alias("own")), "fingerprint_rows")
+    one = lambda end, name: reps.select(F.col("fp").alias(end), F.col("own").alias(name))                 # noqa: E731
+    near = linked(reps.select("fp")).join(one("a", "leader"), "a").join(one("b", "node"), "b").select("leader", "node").where("leader <> node")
+    return near.unionByName(prints.join(reps, "fp").where("row <> own").select(F.col("own").alias("leader"), F.col("row").alias("node")))
+
+
 def still_apart(files: DataFrame, groups: DataFrame | None) -> DataFrame:
     """key, node, root of the keys that hold members of several groups."""
     named = files.withColumn("root", F.col("node")) if groups is None else (
@@ -182,13 +192,16 @@ def kept_rows(docs: DataFrame, similarity: float, words: int) -> DataFrame:
     sets = sketched.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("rep")).select("rep.id", "rep.row")
     sets = staged(sets, "sets")
     filed = sketched.join(sets.select("row"), "row", "left_semi").select(F.explode("keys").alias("key"), F.col("row").alias("node"))
-    groups, levels = None, [rows + k for k in MORE_ROWS]
+    levels, many = [rows + k for k in MORE_ROWS], True
+    close = links_between(fingerprint_pairs(texts.join(sets.select("row"), "row", "left_semi"), words), sketched, texts, similarity, words, True)
+    groups = None if close.isEmpty() else staged(components(close), "groups")
 
     def settle(files: DataFrame, pairs_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """One round: what is still apart after it."""
-        nonlocal groups
+        nonlocal groups, many
         if not files.isEmpty():
-            new = links_between(pairs_of(files), sketched, texts, similarity, words, groups is None)
+            new = links_between(pairs_of(files), sketched, texts, similarity, words, many)
+            many = False
             if not new.isEmpty():                            # groups so far are a link from each member to its root
                 links = new if groups is None else new.unionByName(groups.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
                 groups = staged(components(links), "groups")

@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fathomline.llm import similar
+from fathomline.llm.simhash import fingerprint
 
 WORDS = [f"w{k}" for k in range(5000)]
 
@@ -67,6 +69,27 @@ def test_planted_copies(spark, planted):
     assert kept == brute_kept(planted)
 
 
+def test_fingerprints_come_first(spark, planted, monkeypatch):
+    """The SimHash step finds all within three bits, what is alike of them is linked, and no band has to find it again."""
+    texts = spark.createDataFrame(planted[:120] + [(i + 5000, t) for i, t in planted[:9]], "row long, text string").withColumn("id", F.col("row"))
+    asked = []
+    monkeypatch.setattr(similar, "fingerprint_pairs", lambda t, words, plain=similar.fingerprint_pairs: asked.append(plain(t, words)) or asked[-1])
+    similar.kept_rows(texts.select(F.col("id").alias("doc_id"), "text"), 0.8, 5)
+    assert len(asked) == 1
+    rows = {r.row: fingerprint(r.text, 5) for r in texts.collect()}
+    root = {r: r for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for r in similar.fingerprint_pairs(texts, 5).collect():
+        x, y = find(r.leader), find(r.node)
+        root[max(x, y)] = min(x, y)
+    near = [(a, b) for a in rows for b in rows if a < b and (rows[a] ^ rows[b]).bit_count() <= 3]
+    assert len(near) > 9 and all(find(a) == find(b) for a, b in near)
+
+
 def test_large_groups_edges_and_ids(spark):
     rng = random.Random(3)
     words = rng.choices(WORDS, k=300)
