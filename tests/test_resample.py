@@ -41,7 +41,7 @@ def test_many_sizes_step_to_the_same_counts(monkeypatch, top, p):
 
 
 def test_a_resample_by_shares_is_spread_over_tasks(spark):
-    """Twenty thousand floats of different sums: the draws of 2,000 replicates took minutes in one task."""
+    """Twenty thousand floats of different sums and 2,000 replicates: draws that were one or two tasks' before."""
     t = spark.range(20_000).select(F.lit("p").alias("pool_id"), F.col("id").alias("wmo"), F.when(F.col("id") % 3 == 0, 1).otherwise(0).alias("decision"),
                                    (1 / (1 + F.col("id") / 20_000)).alias("inclusion_probability"))
     w, y = 1 + np.arange(20_000) / 20_000, np.arange(20_000) % 3 == 0
