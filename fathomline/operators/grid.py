@@ -5,18 +5,23 @@ The gridding and gradient formulas are this engine's own (see README): the knobs
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.guards import Refused, refuse
 from ..functions.keys import EVENT_KEY
+from ..functions.runs import whole_runs
 from .rows import dedup
 
 PROFILE = ("wmo", "cycle_number")
 IQR_OF_A_NORMAL = 1.349         # fixed value: the interquartile range of a standard normal
+STRIP = 1 << 14                 # rows whose windows are taken at once
 
 
 @dataclass(frozen=True)
@@ -57,37 +62,93 @@ class Gate:
     needs: tuple[str, ...] = field(default=())
 
 
+def _around(v: np.ndarray, start: np.ndarray, end: np.ndarray, k: int, rows: np.ndarray) -> np.ndarray:
+    """The values of the `k` rows on either side of `rows` and their own, within [start, end); NaN beyond."""
+    at = rows[:, None] + np.arange(-k, k + 1)[None, :]
+    inside = (at >= start[rows, None]) & (at < end[rows, None])
+    return np.where(inside, v[np.clip(at, 0, len(v) - 1)], np.nan)
+
+
+def _trimmed_means(v: np.ndarray, there: np.ndarray, start: np.ndarray, end: np.ndarray, knobs: Knobs) -> tuple[np.ndarray, np.ndarray]:
+    """The trimmed running mean, and where there is one. What is not there is NaN in `v`; a NaN that is there is the greatest value."""
+    mean, has = np.empty(len(v)), np.empty(len(v), dtype=bool)
+    for rows in _strips(len(v)):
+        n = np.nansum(_around(there.astype(float), start, end, knobs.trimmed_mean_window, rows), axis=1).astype(np.int64)
+        values = np.sort(_around(v, start, end, knobs.trimmed_mean_window, rows), axis=1)
+        first = np.floor(n * knobs.trimmed_mean_lo).astype(np.int64)
+        last = np.minimum(np.maximum(np.ceil(n * knobs.trimmed_mean_hi).astype(np.int64), first + 1), n)
+        total = np.zeros(len(rows))
+        for i in range(values.shape[1]):                # in order, as the sum is defined
+            total = np.where((first <= i) & (i < last), total + values[:, i], total)
+        has[rows] = (n >= knobs.trimmed_mean_min_periods) & (last > first)
+        mean[rows] = total / np.maximum(last - first, 1)
+    return mean, has
+
+
+def _quartile_ranges(v: np.ndarray, there: np.ndarray, start: np.ndarray, end: np.ndarray, knobs: Knobs) -> tuple[np.ndarray, np.ndarray]:
+    """The running interquartile range in units of a normal's, by linear interpolation, and where there is one."""
+    scale, has = np.empty(len(v)), np.empty(len(v), dtype=bool)
+    for rows in _strips(len(v)):
+        n = np.nansum(_around(there.astype(float), start, end, knobs.scale_window, rows), axis=1).astype(np.int64)
+        values = np.sort(_around(v, start, end, knobs.scale_window, rows), axis=1)
+        every = np.arange(len(rows))
+
+        def quantile(q: float) -> np.ndarray:
+            place = np.maximum(n - 1, 0) * q
+            low, high = np.floor(place), np.ceil(place)
+            a, b = values[every, low.astype(np.int64)], values[every, high.astype(np.int64)]
+            return np.where(a == b, a, np.where(low == high, a, (high - place) * a + (place - low) * b))
+
+        has[rows] = (n >= knobs.scale_min_periods) & (n > 0)
+        scale[rows] = (quantile(0.75) - quantile(0.25)) / IQR_OF_A_NORMAL
+    return scale, has
+
+
+def _strips(n: int) -> Iterator[np.ndarray]:
+    return (np.arange(k, min(k + STRIP, n)) for k in range(0, n, STRIP))
+
+
+def _residuals(values: list[str], added: list[str], knobs: Knobs):
+    """Rows by profile and bin -> the same with the residual and the scale of every channel."""
+    def profiles(rows: pa.RecordBatch, ends: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff(np.r_[0, ends])
+        start, end = np.repeat(np.r_[0, ends[:-1]], sizes), np.repeat(ends, sizes)
+        residuals, scales = [], []
+        with np.errstate(all="ignore"):
+            for c in values:
+                v, there = rows.column(c).to_numpy(zero_copy_only=False), rows.column(c).is_valid().to_numpy(zero_copy_only=False)
+                mean, has = _trimmed_means(v, there, start, end, knobs)
+                has &= there
+                left = np.where(has, v - mean, np.nan)
+                residuals.append(pa.array(left, mask=~has))
+                scale, known = _quartile_ranges(left, has, start, end, knobs)
+                scales.append(pa.array(scale, mask=~known))
+        kept = rows.drop_columns(values)
+        return pa.RecordBatch.from_arrays([*kept.columns, *residuals, *scales], names=[*kept.schema.names, *added])
+
+    return whole_runs(PROFILE, profiles)
+
+
 def residual_grid(raw: DataFrame, channels: Sequence[str], knobs: Knobs = Knobs(), resolution: str = "coarse",
                   pressure: str = "pres_adjusted") -> DataFrame:
     """Bin means, and per channel the residual from a trimmed running mean in units of a robust scale.
 
     Binning aggregates on the map side; after it a profile is one row per bin, so the windows along the
-    profile are bounded by the number of bins however many raw levels a float holds.
+    profile are bounded by the number of bins however many raw levels a float holds. A task gets whole profiles in
+    order and takes the windows of a batch of rows at once; Spark's own windows would count each frame anew.
     """
     width = knobs.bin_width_coarse if resolution == "coarse" else knobs.bin_width_fine
     binned = (raw.withColumn("bin", F.floor(F.col(pressure) / width).cast("bigint"))
               .groupBy(*PROFILE, "bin").agg(*[F.avg(c).alias(c) for c in channels]))
-    along = Window.partitionBy(*PROFILE).orderBy("bin")
-    near = along.rowsBetween(-knobs.trimmed_mean_window, knobs.trimmed_mean_window)
-    wide = along.rowsBetween(-knobs.scale_window, knobs.scale_window)
-    out = binned.withColumn("pres_adjusted", F.col("bin") * F.lit(width)).withColumn("resolution", F.lit(resolution))
-    for c in channels:
-        values = F.array_sort(F.collect_list(c).over(near))
-        n = F.size(values)
-        first = F.floor(n * F.lit(knobs.trimmed_mean_lo)).cast("int")
-        last = F.greatest(F.ceil(n * F.lit(knobs.trimmed_mean_hi)).cast("int"), first + 1)
-        inner = F.slice(values, first + 1, last - first)
-        mean = F.aggregate(inner, F.lit(0.0), lambda s, v: s + v) / F.size(inner)
-        out = out.withColumn(f"_bg_{c}", F.when(n >= knobs.trimmed_mean_min_periods, mean))
-    for c in channels:
-        out = out.withColumn(f"{c}_res", F.col(c) - F.col(f"_bg_{c}"))
-    for c in channels:
-        q = F.percentile(f"{c}_res", F.array(F.lit(0.25), F.lit(0.75))).over(wide)
-        enough = F.count(f"{c}_res").over(wide) >= knobs.scale_min_periods
-        out = out.withColumn(f"{c}_iqrn", F.when(enough, (q[1] - q[0]) / IQR_OF_A_NORMAL))
+    binned = (binned.withColumn("pres_adjusted", F.col("bin") * F.lit(width)).withColumn("resolution", F.lit(resolution))
+              .withColumns({f"_v_{c}": F.col(c).cast("double") for c in channels}))
+    added = [f"{c}_res" for c in channels] + [f"{c}_iqrn" for c in channels]
+    kept = [f for f in binned.schema.fields if not f.name.startswith("_v_")]
+    out = (binned.repartition(*PROFILE).sortWithinPartitions(*PROFILE, "bin")
+           .mapInArrow(_residuals([f"_v_{c}" for c in channels], added, knobs), StructType(kept + [StructField(c, DoubleType()) for c in added])))
     for c in channels:
         out = out.withColumn(f"{c}_scale_res_rob", F.when(F.col(f"{c}_iqrn") > 0, F.col(f"{c}_res") / F.col(f"{c}_iqrn")))
-    return out.drop(*[f"_bg_{c}" for c in channels])
+    return out
 
 
 def grid_kind_earned(raw: DataFrame, kinds: DataFrame) -> DataFrame:
