@@ -91,7 +91,7 @@ _LOOSE = (GATES[0], G.Gate(CHILD_DOWN, (G.Term("abs_sal", 0.8),), DOWN, "g5", 0,
 @query("nest_in_parent", sql("prof", f"""SELECT pool_id, wmo, cycle_number, pres_adjusted FROM (SELECT * FROM flagged WHERE pool_id = '{DOWN}' UNION ALL
     SELECT '{CHILD_DOWN}', * FROM base WHERE abs(abs_sal_scale_res_rob) >= 0.8 AND pres_adjusted BETWEEN 0 AND 900 AND g AND aou_scale_res_rob < 0)""", _FLAGS))
 def nest_in_parent(spark, d):
-    c = event_key(G.detect(_grid(spark, d), _LOOSE))
+    c = staged(event_key(G.detect(_grid(spark, d), _LOOSE)), "candidates")      # nesting reads them twice
     pools = spark.createDataFrame([(g.pool_id, g.parent) for g in _LOOSE], "pool_id string, parent string")
     return G.nest(c, pools).select("pool_id", "wmo", "cycle_number", "pres_adjusted")
 
