@@ -1,5 +1,6 @@
 """Large groups: one key holds a third of all rows, and results do not depend on how rows are partitioned."""
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -194,3 +195,35 @@ def test_last_copy_before_a_sheet(spark):
     ts = lambda d, n: d.withColumn(n, F.timestamp_seconds("t")).drop("t")
     got = {r["sheet_id"]: r["copy_id"] for r in L.calibration_asof(ts(sheets, "sheet_ts"), ts(copies, "copy_ts")).collect()}
     assert got == {"s1": "c1", "s2": "c1", "s3": "c3", "s4": None}          # strictly before
+
+
+def test_quantiles_order_each_value_once(spark):
+    """A value that very many rows share was sorted row by row in one task."""
+    r = np.random.default_rng(3)
+    values = {"a": np.where(r.random(40_001) < 0.7, 4.0, r.integers(0, 9, 40_001)), "b": r.normal(size=777), "c": np.array([2.0]), "d": np.array([1.0, 3.0])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    seen, whole = [], O.ordered
+
+    def watched(t, *args, **kw):
+        seen.append(t.count())
+        return whole(t, *args, **kw)
+
+    O.ordered = watched
+    try:
+        got = {x["g"]: x for x in O.order_statistics(df, ["g"], "v", [0.0, 0.1, 0.5, 0.77, 1.0]).collect()}
+    finally:
+        O.ordered = whole
+    assert seen == [sum(len(np.unique(v)) for v in values.values())]
+    assert set(got) == set(values)
+    for g, vs in values.items():
+        assert got[g]["group_n"] == len(vs)
+        assert np.allclose(got[g]["q"], np.quantile(vs, [0.0, 0.1, 0.5, 0.77, 1.0]), rtol=0, atol=1e-12)
+
+
+def test_a_rebuilt_table_is_dealt_by_key(spark):
+    """Seven tasks read the whole table however large it was."""
+    import __spark_entry__ as entry
+    from tests.conftest import SMALL
+    plan = entry.queries()["compare_rebuild"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "Repartition 7" not in plan
