@@ -168,7 +168,7 @@ def grid_health(spark, d):
 def compare_rebuild(spark, d):
     t = B.profiles(spark, d).withColumnRenamed("l_returnflag", "resolution")
     moved = t.withColumn("aou", F.when(F.col("l_extendedprice") > 104000, F.col("aou") + 1).otherwise(F.col("aou")))
-    return G.compare_rebuild(t, moved.repartition(7))
+    return G.compare_rebuild(t, moved.repartition("l_orderkey", "l_linenumber"))      # other files, as many as it takes
 
 
 @query("failure_capture", """SELECT l_returnflag AS grid_kind, l_suppkey AS wmo, 'read' AS stage, 'demo' AS pool_id, 'quantity ' || CAST(l_quantity AS INT) AS error, count(*) AS n FROM lineitem WHERE l_quantity >= 49 GROUP BY ALL""")
