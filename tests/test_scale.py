@@ -227,3 +227,22 @@ def test_a_rebuilt_table_is_dealt_by_key(spark):
     from tests.conftest import SMALL
     plan = entry.queries()["compare_rebuild"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and "Repartition 7" not in plan
+
+
+def test_deciles_sort_only_where_one_begins(spark, monkeypatch):
+    """All rows were range-sorted to look up nine of them."""
+    from fathomline.operators import allocation
+    r, nan, inf = np.random.default_rng(9), float("nan"), float("inf")
+    pools = {"even": r.random(20_000), "tied": np.where(r.random(3_000) < 0.6, 0.25, r.random(3_000)), "one": np.array([0.5]), "same": np.full(37, 2.0), "few": np.array([3.0, 1.0, 2.0]),
+             "odd": r.choice([None, nan, -inf, inf, 1e308, -1e308, 0.0, -0.0, 5.0], 500), "far": r.choice([-inf, inf], 30), "small": r.choice([0.0, 5e-324], 50)}
+    rows = [(g, None if v is None else float(v), i // 7, i % 7, float(i * 13 % 11)) for g, vs in pools.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "pool_id string, score double, wmo long, cycle_number long, pres_adjusted double")
+    seen, whole = [], allocation.ordered
+    monkeypatch.setattr(allocation, "ordered", lambda t, *a, **kw: (seen.append(t.where("pool_id = 'even'").count()), whole(t, *a, **kw))[1])
+    for k in (10, 4):
+        got = {(x["pool_id"], x["wmo"], x["cycle_number"]): x["decile"] for x in A.score_deciles(df, k).collect()}
+        assert len(got) == len(rows)
+        for g, vs in pools.items():
+            own = sorted((x for x in rows if x[0] == g), key=lambda x: (x[1] is not None, x[1] != x[1], 0.0 if x[1] is None or x[1] != x[1] else x[1], *x[2:]))
+            assert [got[x[0], x[2], x[3]] for x in own] == [i * k // len(own) for i in range(len(own))], g
+    assert max(seen) < 200
