@@ -246,3 +246,16 @@ def test_deciles_sort_only_where_one_begins(spark, monkeypatch):
             own = sorted((x for x in rows if x[0] == g), key=lambda x: (x[1] is not None, x[1] != x[1], 0.0 if x[1] is None or x[1] != x[1] else x[1], *x[2:]))
             assert [got[x[0], x[2], x[3]] for x in own] == [i * k // len(own) for i in range(len(own))], g
     assert max(seen) < 200
+
+
+def test_rounds_of_a_draw_count_the_frame_once(spark, monkeypatch):
+    """Every round counted the frame's floats three times."""
+    from fathomline.plans import draw as plan
+    rows = [("p", w % 40, c, float(c), (w * 7 + c) % 100 / 100) for w in range(400) for c in range(5)]
+    s = spark.createDataFrame(rows, "pool_id string, wmo long, cycle_number long, pres_adjusted double, score double").withColumn("wmo", F.expr("wmo + cycle_number * 100"))
+    s = s.withColumn("cycle_number", F.monotonically_increasing_id()).withColumn("design_stratum", F.when(F.col("score") < 0.5, "a").otherwise("b"))
+    table = A.planned_acceptance(A.stratum_table(s.withColumn("p", F.col("score") * 0.5)), 0.13).withColumn("p_plan", F.lit(0.13))
+    seen, whole = [], P.float_sizes
+    monkeypatch.setattr(P, "float_sizes", lambda *a, **kw: seen.append(1) or whole(*a, **kw))
+    _, _, rounds = plan.solve_with_design_effect(s, table, 0.6, 3)
+    assert rounds.count() > 1 and len(seen) == 1
