@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import Refused, refuse, require_columns
 from ..functions.keys import EVENT_KEY, content_hash, event_type
+from ..functions.staging import staged
 
 
 SIDECAR = ".sidecar"
@@ -24,8 +25,9 @@ def scan_candidates(spark: SparkSession, path: str, pool: str | None = None, col
 
 def sidecar(df: DataFrame, source_digest: str | None = None) -> DataFrame:
     """Per pool: spec, rows, key-set digest, and the grid source the list was made from."""
-    counts = df.groupBy("pool_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("spec_id").alias("spec_id"),
-                                       F.count_distinct("spec_id").alias("_specs"))
+    # rows are counted by (pool, spec), by hash: the least of a text per pool would sort all rows
+    by_spec = staged(df.groupBy("pool_id", "spec_id").agg(F.count(F.lit(1)).alias("n")), "specs")
+    counts = by_spec.groupBy("pool_id").agg(F.sum("n").alias("n_rows"), F.min("spec_id").alias("spec_id"), F.count("spec_id").alias("_specs"))
     refuse(counts.where(F.col("_specs") > 1), "a list written under more than one spec")
     return (counts.drop("_specs").join(content_hash(df).select("pool_id", "content_sha256"), "pool_id")
             .withColumn("source_digest", F.lit(source_digest).cast("string")))
@@ -38,6 +40,7 @@ def write_candidates(df: DataFrame, path: str, source_digest: str | None = None,
     each sorted by key, so key filters skip files and row groups.
     """
     keys = ["pool_id", *EVENT_KEY]
+    df = staged(df, "lists")                                   # the ranges are sampled before rows are dealt: what made the rows runs once
     parted = df.repartitionByRange(files_per_pool, *keys) if files_per_pool else df.repartitionByRange(*keys)
     (parted.sortWithinPartitions(*keys).write.mode("errorifexists").option("compression", "zstd")
      .partitionBy("pool_id").parquet(path))

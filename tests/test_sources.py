@@ -229,3 +229,27 @@ def test_model_reads_the_signal_and_not_the_float(spark, toy):
 def test_folds_keep_the_balance(spark, toy):
     f = M.grouped_folds(toy.withColumn("decision", (F.col("signal") > 0.6).cast("int")), 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("decision").alias("s")).collect()
     assert {r["n"] for r in f} == {96} and max(r["s"] for r in f) - min(r["s"] for r in f) < 0.12
+
+
+def test_rows_are_made_once_for_a_written_list(spark):
+    """The ranges of a list are sampled from what was made, which is not made again when it is dealt and written."""
+    made = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    t = K.event_key(spark.range(400).select(F.lit("d/physical/obduction").alias("pool_id"), F.lit("spec1").alias("spec_id"), F.col("id").alias("wmo"),
+                                            F.lit(1).alias("cycle_number"), F.lit(250.5).alias("pres_adjusted")))
+    side = C.write_candidates(t.mapInArrow(rows, t.schema), new_path(spark, "lists"), "src")
+    assert made.value == 400
+    assert [(r.pool_id, r.n_rows, r.spec_id) for r in side.collect()] == [("d/physical/obduction", 400, "spec1")]
+
+
+def test_a_set_digest_is_that_of_its_sums(spark):
+    import hashlib
+    keys = [(k, k % 7, -k) for k in range(3000)]
+    digests = [hashlib.sha256("|".join(map(str, k)).encode()).hexdigest() for k in keys]
+    sums = [sum(int(d[8 * i:8 * i + 8], 16) for d in digests) for i in range(8)]
+    got = K.content_hash(spark.createDataFrame([("p", *k) for k in keys * 2], "pool_id string, k_wmo long, k_cycle long, k_pres long")).first()
+    assert (got["n"], got["content_sha256"]) == (3000, hashlib.sha256("|".join(map(str, [3000, *sums])).encode()).hexdigest())
