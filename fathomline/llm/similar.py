@@ -1,18 +1,19 @@
 """Groups of texts whose sets of word shingles are similar: SimHash and MinHash bands find pairs, the sets themselves confirm them.
 
-Fingerprints of 64 bits that differ in at most three are found first, by the method of `simhash`, and their texts compared: what is
-similar is contracted before any other round. A SimHash alone cannot tell a similarity of 0.8: such a pair differs in about ten
-bits, and balls of that size hold most of the corpus. So the rest is found by bands: each distinct set of shingles gets BANDS keys, each of as many least hashes as still let a pair at the threshold miss
+Fingerprints of 64 bits that differ in at most three are found first, by the method of `simhash`. A SimHash alone cannot tell a
+similarity of 0.8: such a pair differs in about ten bits, and balls of that size hold most of the corpus. So the rest is found by
+bands: each distinct set of shingles gets BANDS keys, each of as many least hashes as still let a pair at the threshold miss
 all keys in less than MISSED of the cases (five at 0.8: 3 in a million). Sets that share a key are compared shingle by shingle.
 
-A key is never turned into all its pairs. In a first round each member meets one leader, the least of those of its keys; what is
-similar is contracted, so that a group of near copies costs about one comparison a copy. Then the members of keys that still hold
-several groups meet all their leaders, one a key, and keys of SMALL members or fewer are compared pair by pair. Members of larger
-keys that are of several groups even then are filed again under more least hashes (and more keys, so that as few are missed), where
-sets that are not similar part. Each round makes at most a fixed number of comparisons for a member and key.
+In a first round each member meets one leader, the least of those of its keys; what is similar, of these and of the fingerprints'
+pairs, is contracted, so that a group of near copies costs about one comparison a copy. Keys that still hold several groups are
+compared in cells, pair by pair, up to SMALL members. Members of larger keys are filed again under more least hashes (and more
+keys, so that as few are missed), where sets that are not similar part. Keys that stay larger are cut into blocks, and each two
+blocks are a cell. The number of rounds does not depend on how many groups a key holds. A member of a key of up to SMALL meets fewer than
+SMALL others there; only a key of sets that no number of hashes parts takes all its pairs, a cell in a task at a time.
 
 Before texts are compared, counts of shingles by low bits of their hash bound the similarity from above, at about a byte a shingle
-before compression; only pairs whose bound reaches the threshold send their texts.
+before compression; only pairs whose bound reaches the threshold send their texts. Cells hold these counts alone.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ MISSED = 1e-5
 MOST_ROWS = 16               # least hashes of a key, for similarities near one
 CHUNK = 256                  # members compared with a leader in one stretch
 STRETCH = 2_000              # shingles whose least hashes are taken at once
-SMALL = 8                    # members of a key that are compared pair by pair
-LEADERS = 32                 # of a key in one round, where more least hashes do not part its members
+SMALL = 1_024                # members of a key that are one cell
+LEADERS = 512                # members of a block, where more least hashes do not part a larger key
+CELL_BYTES = 4 << 20         # of the marks of a block, compressed
 MORE_ROWS = (4, 9)           # least hashes added where large keys stay apart
 
 _POWERS = Powers(0x9E3779B97F4A7C15)
@@ -156,14 +158,78 @@ def compared(pairs: DataFrame, data: DataFrame, load: Callable, fits: Callable,
     return rows.mapInArrow(compare, "leader long, node long")
 
 
-def links_between(pairs: DataFrame, sketched: DataFrame, texts: DataFrame, similarity: float, words: int, many: bool) -> DataFrame:
-    """The links (a < b) of the pairs that are as similar: bounded by their marks first, confirmed on whole sets of shingles."""
+def near_of(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs that may be as similar, by their marks."""
     pairs = staged(pairs, "pairs")
-    near = staged(compared(pairs, sketched.select("row", F.col("marks").alias("data")), loaded_marks, lambda x, y: most_similar(x, y) >= similarity), "near_pairs")
+    return compared(pairs, sketched.select("row", F.col("marks").alias("data")), loaded_marks, lambda x, y: most_similar(x, y) >= similarity)
+
+
+def links_of(near: DataFrame, texts: DataFrame, similarity: float, words: int, many: bool) -> DataFrame:
+    """The links (a < b) of the pairs that are as similar, by their whole sets of shingles."""
+    near = staged(near, "near_pairs")
     sure = compared(near, texts.select("row", F.col("text").alias("data")), lambda t: shingles(t, words), lambda x, y: jaccard(x, y) >= similarity, many)
     return staged(sure.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")), "similar")
 
 
+def near_in_cell(node: np.ndarray, root: np.ndarray, side: np.ndarray, data: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell's members that are of different groups and, by their marks, may be similar. Members of two blocks (both
+    values of `side`) meet across them only; those of one block all meet."""
+    loaded = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8) for x in data]
+    length, total = np.array([len(x) for x in loaded]), np.array([x.sum(dtype=np.int64) for x in loaded])
+    capped = np.array([bool((x == 255).any()) for x in loaded])
+    across = bool((side != side[0]).any())
+    a, b = [], []
+    for values in np.unique(length).tolist():
+        # the shorter marks count to 255 at most, so no more is needed of the sums that the longer ones are folded to
+        rest = np.nonzero(length >= values)[0]
+        table = np.stack([np.minimum(loaded[k].reshape(-1, values).sum(axis=0, dtype=np.int64), 255).astype(np.uint8) for k in rest.tolist()])
+        for at in np.nonzero(length[rest] == values)[0].tolist():
+            k = rest[at]
+            may = (root[rest] != root[k]) & ((length[rest] > values) | (rest > k))
+            if across:
+                may &= side[rest] != side[k]
+            may &= capped[rest] | capped[k] | (np.minimum(total[rest], total[k]) / np.maximum(total[rest], total[k]) >= similarity)
+            others = np.nonzero(may)[0]
+            if len(others):
+                both = np.minimum(table[others], table[at]).sum(axis=1, dtype=np.int64)
+                others = rest[others]
+                near = others[capped[others] | capped[k] | (both / (total[others] + total[k] - both) >= similarity)]
+                a.append(np.full(len(near), node[k]))
+                b.append(node[near])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+
+
+def near_in_cells(files: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """The distinct pairs (leader, node) of members of a key in `files` that are of different groups and may be similar. A key is a
+    cell; one of more than SMALL members, or of many bytes, is cut into blocks, and each two of them, and each one, are a cell."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, low, high, node, root, side, marks), sorted by cell (key, low, high)."""
+        cell, held = None, []
+
+        def near():
+            own = [np.array(x) for x in list(zip(*held))[:3]] if len(held) > 1 else None
+            x, y = near_in_cell(*own, [r[3] for r in held], similarity) if own is not None and (own[1] != own[1][0]).any() else (np.zeros(0, dtype=np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["leader", "node"])
+
+        for batch in batches:
+            for key, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, low, high) != cell:
+                    if len(held) > 1:
+                        yield near()
+                    cell, held = (key, low, high), []
+                held.append(row)
+        if len(held) > 1:
+            yield near()
+
+    blocks = F.greatest(F.when(F.col("n") > SMALL, F.ceil(F.col("n") / LEADERS)).otherwise(1), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int")
+    cut = files.select("key", "node", "root", blocks.alias("blocks")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    asked = cut.select("key", "node", "root", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    asked = asked.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "root", (F.col("block") > F.col("other")).alias("side"))
+    rows = asked.hint("merge").join(sketched.select("row", "marks"), F.col("node") == F.col("row")).select("key", "low", "high", "node", "root", "side", "marks")
+    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return rows.mapInArrow(found, "leader long, node long").distinct()
+
+
 def fingerprint_pairs(texts: DataFrame, words: int) -> DataFrame:
     """Pairs (leader, node) of rows of `texts` (row, id, text) that keep together all whose SimHashes differ in at most three bits."""
     prints = staged(fingerprints(texts.select("row", F.col("id").alias("doc_id"), "text"), words).select("row", "fp"), "fingerprints")
@@ -174,11 +240,11 @@ def fingerprint_pairs(texts: DataFrame, words: int) -> DataFrame:
 
 
 def still_apart(files: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """key, node, root of the keys that hold members of several groups."""
+    """key, node, size, root of the keys of `files` (key, node, size) that hold members of several groups, with their members (n), bytes and leader."""
     named = files.withColumn("root", F.col("node")) if groups is None else (
-        files.join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "root")).alias("lead"))
-    return staged(named.join(several.where("low < high").select("key", "n", F.col("lead.node").alias("leader"), F.col("lead.root").alias("own")), "key"), "files")
+        files.join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "root")).alias("lead"))
+    return staged(named.join(several.where("low < high").select("key", "n", "bytes", F.col("lead.node").alias("leader"), F.col("lead.root").alias("own")), "key"), "files")
 
 
 def kept_rows(docs: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -191,48 +257,33 @@ def kept_rows(docs: DataFrame, similarity: float, words: int) -> DataFrame:
     # one row a set of shingles, told by its smallest id
     sets = sketched.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("rep")).select("rep.id", "rep.row")
     sets = staged(sets, "sets")
-    filed = sketched.join(sets.select("row"), "row", "left_semi").select(F.explode("keys").alias("key"), F.col("row").alias("node"))
-    levels, many = [rows + k for k in MORE_ROWS], True
-    close = links_between(fingerprint_pairs(texts.join(sets.select("row"), "row", "left_semi"), words), sketched, texts, similarity, words, True)
-    groups = None if close.isEmpty() else staged(components(close), "groups")
-
-    def settle(files: DataFrame, pairs_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """One round: what is still apart after it."""
-        nonlocal groups, many
-        if not files.isEmpty():
-            new = links_between(pairs_of(files), sketched, texts, similarity, words, many)
-            many = False
-            if not new.isEmpty():                            # groups so far are a link from each member to its root
-                links = new if groups is None else new.unionByName(groups.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
-                groups = staged(components(links), "groups")
-        return still_apart(files.select("key", "node"), groups)
-
-    met = lambda f: f.where("root <> own").select("leader", "node")                                       # noqa: E731
-    least = lambda f: met(f).groupBy("node").agg(F.min_by("leader", F.xxhash64("leader")).alias("leader")).select("leader", "node")        # noqa: E731
-
-    def all_leaders(f: DataFrame) -> DataFrame:
-        few = f.where(F.col("n") <= SMALL).select("key", "node", "root")
-        both = few.join(few.select("key", F.col("node").alias("leader"), F.col("root").alias("own")), "key").where("leader < node AND root <> own").select("leader", "node")
-        return met(f.where(F.col("n") > SMALL)).unionByName(both).distinct()
+    filing = lambda made: made.select(F.explode("keys").alias("key"), F.col("row").alias("node"), F.octet_length("marks").alias("size"))      # noqa: E731
+    filed = filing(sketched.join(sets.select("row"), "row", "left_semi"))
+    close = fingerprint_pairs(texts.join(sets.select("row"), "row", "left_semi"), words)
+    levels, groups = [rows + k for k in MORE_ROWS], None
+
+    def settle(near: DataFrame, many: bool) -> None:
+        """One round: the groups after it."""
+        nonlocal groups
+        new = links_of(near, texts, similarity, words, many)
+        if not new.isEmpty():                                # groups so far are a link from each member to its root
+            links = new if groups is None else new.unionByName(groups.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+            groups = staged(components(links), "groups")
 
     while True:
         shared = filed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        files = settle(still_apart(filed.join(shared, "key"), groups), least)
-        large = settle(files, all_leaders).where(F.col("n") > SMALL)
-        if large.isEmpty():
-            break
-        if not levels:                                       # sets that share so many least hashes meet leader after leader
-            while not large.isEmpty():
-                slot = F.pmod(F.xxhash64("node", "key"), F.lit(LEADERS)).alias("slot")
-                lead = staged(large.groupBy("key", slot).agg(F.min(F.struct("node", "root")).alias("x")).select("key", F.col("x.node").alias("leader"), F.col("x.root").alias("own")), "leaders")
-                several = lambda f, lead=lead: f.select("key", "node", "root").join(lead, "key").where("root <> own").select(                          # noqa: E731
-                    F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
-                rest = settle(large, several).join(lead.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti")
-                large = still_apart(rest.select("key", "node"), groups)
+        files = still_apart(filed.join(shared, "key"), groups)
+        least = files.where("root <> own").select("leader", "node").groupBy("node").agg(F.min_by("leader", F.xxhash64("leader")).alias("leader")).select("leader", "node")
+        settle(near_of(least if close is None else least.unionByName(close).distinct(), sketched, similarity), close is not None)
+        close, files = None, still_apart(files.select("key", "node", "size"), groups)
+        large = files.where(F.col("n") > SMALL) if levels else files.limit(0)
+        again = not large.isEmpty()
+        settle(near_in_cells(files.where(F.col("n") <= SMALL) if again else files, sketched, similarity), False)
+        if not again:
             break
         rows = levels.pop(0)
         apart = texts.join(large.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
-        filed = staged(sketches(apart, rows, words, bands_for(similarity, rows)).select(F.explode("keys").alias("key"), F.col("row").alias("node")), "filed")
+        filed = staged(filing(sketches(apart, rows, words, bands_for(similarity, rows))), "filed")
     if groups is None:
         return sets.select("row")
     named = sets.join(groups, F.col("row") == F.col("node"), "left").select("id", "row", F.coalesce("root", "row").alias("root"))

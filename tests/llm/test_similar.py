@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fathomline.llm import similar
+from fathomline.llm import simhash, similar
 from fathomline.llm.simhash import fingerprint
 
 WORDS = [f"w{k}" for k in range(5000)]
@@ -133,3 +133,50 @@ def test_keys_that_more_hashes_do_not_part(spark, monkeypatch):
     rows += [(20 + k, " ".join(changed(rng, rows[k][1].split(), 0.85))) for k in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
     assert sorted(r.doc_id for r in similar.representatives(docs, 0.8, 5).collect()) == brute_kept(rows)
+
+
+def unlike(rng, n, shared, own):
+    """Texts that hold one passage, and are about shared / (shared + 2 * own) alike."""
+    passage = rng.choices(WORDS, k=shared)
+    return [" ".join(passage + rng.choices(WORDS, k=own + k % 3)) for k in range(n)]
+
+
+def test_rounds_do_not_grow_with_the_groups_of_a_key(spark, monkeypatch):
+    """Very many texts with one passage share keys without being similar: they are compared in cells, not leader after leader."""
+    rng = random.Random(13)
+    rows = list(enumerate(unlike(rng, 150, 120, 18)))
+    rows += [(1000 + k, " ".join(changed(rng, rows[k][1].split(), 0.85))) for k in range(0, 150, 10)]
+    written = []
+    for module in (similar, simhash):
+        monkeypatch.setattr(module, "staged", lambda df, name="staged", plain=module.staged: written.append(name) or plain(df, name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    assert sorted(r.doc_id for r in similar.representatives(docs, 0.8, 5).collect()) == brute_kept(rows)
+    assert written.count("near_pairs") == 2 and len(written) < 40
+
+
+def test_blocks_of_a_large_key(spark, monkeypatch):
+    """Keys that more hashes do not part are cut into blocks, of which each two meet; so are keys of many bytes."""
+    rng = random.Random(17)
+    rows = list(enumerate(unlike(rng, 30, 100, 15)))
+    rows += [(100 + k, " ".join(changed(rng, rows[k][1].split(), 0.85))) for k in range(0, 30, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for name, value in (("MORE_ROWS", (2,)), ("SMALL", 4), ("LEADERS", 3), ("CELL_BYTES", 300)):
+        monkeypatch.setattr(similar, name, value)
+    assert sorted(r.doc_id for r in similar.representatives(docs, 0.8, 5).collect()) == brute_kept(rows)
+
+
+def test_a_cell_finds_what_the_marks_of_two_do():
+    rng, np = random.Random(19), similar.np
+    texts = [rng.choices(WORDS, k=rng.randint(1, 500)) for _ in range(8)]
+    texts += [changed(rng, t, s) for t in texts for s in (0.75, 0.8, 0.9)] + [["the", "same"] * 2000, ["the", "same"] * 2000 + ["x"]]
+    data = [similar.marks(similar.shingles(" ".join(t), 5)) for t in texts]
+    full = np.array([255] * 3 + [1] * 61, dtype=np.uint8).tobytes()            # counts that stand for any number
+    data.append(similar.zstandard.ZstdCompressor().compress(full))
+    node, root = np.arange(len(data)), np.arange(len(data)) // 2
+    for side in (np.zeros(len(data), dtype=bool), node % 3 == 0):
+        x, y = similar.near_in_cell(node, root, side, data, 0.8)
+        got = sorted((min(p), max(p)) for p in zip(x.tolist(), y.tolist()))
+        load = similar.loaded_marks
+        assert got == [(a, b) for a in node.tolist() for b in node.tolist() if a < b and root[a] != root[b] and (not side.any() or side[a] != side[b])
+                       and similar.most_similar(load(data[a]), load(data[b])) >= 0.8]
+        assert len(got) > 20
