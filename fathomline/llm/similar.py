@@ -13,7 +13,8 @@ blocks are a cell. The number of rounds does not depend on how many groups a key
 SMALL others there; only a key of sets that no number of hashes parts takes all its pairs, a cell in a task at a time.
 
 Before texts are compared, counts of shingles by low bits of their hash bound the similarity from above, at about a byte a shingle
-before compression; only pairs whose bound reaches the threshold send their texts. Cells hold these counts alone.
+before compression; only pairs whose bound reaches the threshold send their texts. A cell is held twice: by these counts, which tell
+the members that may have a partner, then by the texts of those. It returns links that join its groups, fewer than its members.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ CHUNK = 256                  # members compared with a leader in one stretch
 STRETCH = 2_000              # shingles whose least hashes are taken at once
 SMALL = 1_024                # members of a key that are one cell
 LEADERS = 512                # members of a block, where more least hashes do not part a larger key
-CELL_BYTES = 4 << 20         # of the marks of a block, compressed
+CELL_BYTES = 1 << 20         # of the marks of a block, compressed; its sets of shingles take some twenty times as many
 MORE_ROWS = (4, 9)           # least hashes added where large keys stay apart
 
 _POWERS = Powers(0x9E3779B97F4A7C15)
@@ -88,10 +89,15 @@ def keys(h: np.ndarray, rows: int, bands: int = BANDS) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(data[k:k + width]) for k in range(0, len(data), width)], dtype=np.uint64)
 
 
-def marks(h: np.ndarray) -> bytes:
+def counts(h: np.ndarray) -> np.ndarray:
     """How many of the shingles have each value of the low bits of their hash; as many values as shingles or up to twice as many."""
     values = 1 << max(6, int(len(h) - 1).bit_length())
-    return zstandard.ZstdCompressor(level=1).compress(np.minimum(np.bincount((h & np.uint64(values - 1)).astype(np.int64), minlength=values), 255).astype(np.uint8).tobytes())
+    return np.minimum(np.bincount((h & np.uint64(values - 1)).astype(np.int64), minlength=values), 255).astype(np.uint8)
+
+
+def marks(h: np.ndarray) -> bytes:
+    """The counts of a set of shingles, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(counts(h).tobytes())
 
 
 def loaded_marks(data: bytes) -> np.ndarray:
@@ -158,33 +164,26 @@ def compared(pairs: DataFrame, data: DataFrame, load: Callable, fits: Callable,
     return rows.mapInArrow(compare, "leader long, node long")
 
 
-def near_of(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs that may be as similar, by their marks."""
+def links_between(pairs: DataFrame, sketched: DataFrame, texts: DataFrame, similarity: float, words: int, many: bool) -> DataFrame:
+    """The links (a < b) of the pairs that are as similar: bounded by their marks first, confirmed on whole sets of shingles."""
     pairs = staged(pairs, "pairs")
-    return compared(pairs, sketched.select("row", F.col("marks").alias("data")), loaded_marks, lambda x, y: most_similar(x, y) >= similarity)
-
-
-def links_of(near: DataFrame, texts: DataFrame, similarity: float, words: int, many: bool) -> DataFrame:
-    """The links (a < b) of the pairs that are as similar, by their whole sets of shingles."""
-    near = staged(near, "near_pairs")
+    near = staged(compared(pairs, sketched.select("row", F.col("marks").alias("data")), loaded_marks, lambda x, y: most_similar(x, y) >= similarity), "near_pairs")
     sure = compared(near, texts.select("row", F.col("text").alias("data")), lambda t: shingles(t, words), lambda x, y: jaccard(x, y) >= similarity, many)
     return staged(sure.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")), "similar")
 
 
-def near_in_cell(node: np.ndarray, root: np.ndarray, side: np.ndarray, data: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell's members that are of different groups and, by their marks, may be similar. Members of two blocks (both
-    values of `side`) meet across them only; those of one block all meet."""
-    loaded = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8) for x in data]
+def near_in_cell(root: np.ndarray, side: np.ndarray, loaded: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of a cell's members, each with those of others of different groups that may be similar to it by their counts; a
+    pair is there once. Members of two blocks (both values of `side`) meet across them only; those of one block all meet."""
     length, total = np.array([len(x) for x in loaded]), np.array([x.sum(dtype=np.int64) for x in loaded])
     capped = np.array([bool((x == 255).any()) for x in loaded])
     across = bool((side != side[0]).any())
-    a, b = [], []
     for values in np.unique(length).tolist():
-        # the shorter marks count to 255 at most, so no more is needed of the sums that the longer ones are folded to
+        # the shorter counts go to 255 at most, so no more is needed of the sums that the longer ones are folded to
         rest = np.nonzero(length >= values)[0]
         table = np.stack([np.minimum(loaded[k].reshape(-1, values).sum(axis=0, dtype=np.int64), 255).astype(np.uint8) for k in rest.tolist()])
         for at in np.nonzero(length[rest] == values)[0].tolist():
-            k = rest[at]
+            k = int(rest[at])
             may = (root[rest] != root[k]) & ((length[rest] > values) | (rest > k))
             if across:
                 may &= side[rest] != side[k]
@@ -193,41 +192,76 @@ def near_in_cell(node: np.ndarray, root: np.ndarray, side: np.ndarray, data: lis
             if len(others):
                 both = np.minimum(table[others], table[at]).sum(axis=1, dtype=np.int64)
                 others = rest[others]
-                near = others[capped[others] | capped[k] | (both / (total[others] + total[k] - both) >= similarity)]
-                a.append(np.full(len(near), node[k]))
-                b.append(node[near])
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+                yield k, others[capped[others] | capped[k] | (both / (total[others] + total[k] - both) >= similarity)]
+
+
+def links_in_cell(root: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links between the places of a cell's members that are similar; they join what the pairs of the cell do, once."""
+    of = np.unique(root, return_inverse=True)[1].tolist()
+    up = list(range(max(of) + 1))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for k, others in near_in_cell(root, side, [counts(h) for h in sets], similarity):
+        for other in others.tolist():
+            x, y = find(of[k]), find(of[other])
+            if x != y and jaccard(sets[k], sets[other]) >= similarity:
+                up[x] = y
+                yield k, other
 
 
-def near_in_cells(files: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """The distinct pairs (leader, node) of members of a key in `files` that are of different groups and may be similar. A key is a
-    cell; one of more than SMALL members, or of many bytes, is cut into blocks, and each two of them, and each one, are a cell."""
+def by_cell(rows: DataFrame, result: Callable, schema: str) -> DataFrame:
+    """`result` of each cell of `rows` (key, low, high, node, root, side, data) that holds several groups."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, low, high, node, root, side, marks), sorted by cell (key, low, high)."""
         cell, held = None, []
 
-        def near():
-            own = [np.array(x) for x in list(zip(*held))[:3]] if len(held) > 1 else None
-            x, y = near_in_cell(*own, [r[3] for r in held], similarity) if own is not None and (own[1] != own[1][0]).any() else (np.zeros(0, dtype=np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["leader", "node"])
+        def of_cell() -> list[pa.RecordBatch]:
+            node, root, side, data = zip(*held)
+            return [result(cell, np.array(node), np.array(root), np.array(side), data)] if len(set(root)) > 1 else []
 
         for batch in batches:
             for key, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, low, high) != cell:
-                    if len(held) > 1:
-                        yield near()
+                    if held:
+                        yield from of_cell()
                     cell, held = (key, low, high), []
                 held.append(row)
-        if len(held) > 1:
-            yield near()
+        if held:
+            yield from of_cell()
+
+    rows = rows.select("key", "low", "high", "node", "root", "side", "data")
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(found, schema)
+
+
+def cell_links(files: DataFrame, sketched: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Links (a < b) between members of the keys in `files` that join all of one key and different groups that are similar. A key is
+    a cell; one of more than SMALL members, or of many bytes, is cut into blocks, and each two of them, and each one, are a cell."""
+    def may(cell, node, root, side, data) -> pa.RecordBatch:
+        some = np.zeros(len(node), dtype=bool)
+        for k, others in near_in_cell(root, side, [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8) for x in data], similarity):
+            some[others] = True
+            some[k] |= len(others) > 0
+        key, low, high = cell
+        n = int(some.sum())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, low, dtype=np.int32)), pa.array(np.full(n, high, dtype=np.int32)), pa.array(node[some]), pa.array(root[some]), pa.array(side[some])],
+                                          names=["key", "low", "high", "node", "root", "side"])
+
+    def sure(cell, node, root, side, data) -> pa.RecordBatch:
+        found = list(links_in_cell(root, side, [shingles(t, words) for t in data], similarity))
+        x, y = (node[[f[k] for f in found]] if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     blocks = F.greatest(F.when(F.col("n") > SMALL, F.ceil(F.col("n") / LEADERS)).otherwise(1), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int")
     cut = files.select("key", "node", "root", blocks.alias("blocks")).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     asked = cut.select("key", "node", "root", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     asked = asked.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "root", (F.col("block") > F.col("other")).alias("side"))
-    rows = asked.hint("merge").join(sketched.select("row", "marks"), F.col("node") == F.col("row")).select("key", "low", "high", "node", "root", "side", "marks")
-    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return rows.mapInArrow(found, "leader long, node long").distinct()
+    counted = asked.hint("merge").join(sketched.select("row", F.col("marks").alias("data")), F.col("node") == F.col("row"))
+    near = staged(by_cell(counted, may, "key long, low int, high int, node long, root long, side boolean"), "near_members")
+    wanted = texts.select("row", F.col("text").alias("data")).join(near.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
+    return staged(by_cell(near.join(wanted, F.col("node") == F.col("row")), sure, "a long, b long").distinct(), "similar")
 
 
 def fingerprint_pairs(texts: DataFrame, words: int) -> DataFrame:
@@ -262,10 +296,9 @@ def kept_rows(docs: DataFrame, similarity: float, words: int) -> DataFrame:
     close = fingerprint_pairs(texts.join(sets.select("row"), "row", "left_semi"), words)
     levels, groups = [rows + k for k in MORE_ROWS], None
 
-    def settle(near: DataFrame, many: bool) -> None:
-        """One round: the groups after it."""
+    def settle(new: DataFrame) -> None:
+        """The groups with the new links."""
         nonlocal groups
-        new = links_of(near, texts, similarity, words, many)
         if not new.isEmpty():                                # groups so far are a link from each member to its root
             links = new if groups is None else new.unionByName(groups.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
             groups = staged(components(links), "groups")
@@ -274,11 +307,11 @@ def kept_rows(docs: DataFrame, similarity: float, words: int) -> DataFrame:
         shared = filed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
         files = still_apart(filed.join(shared, "key"), groups)
         least = files.where("root <> own").select("leader", "node").groupBy("node").agg(F.min_by("leader", F.xxhash64("leader")).alias("leader")).select("leader", "node")
-        settle(near_of(least if close is None else least.unionByName(close).distinct(), sketched, similarity), close is not None)
+        settle(links_between(least if close is None else least.unionByName(close).distinct(), sketched, texts, similarity, words, close is not None))
         close, files = None, still_apart(files.select("key", "node", "size"), groups)
         large = files.where(F.col("n") > SMALL) if levels else files.limit(0)
         again = not large.isEmpty()
-        settle(near_in_cells(files.where(F.col("n") <= SMALL) if again else files, sketched, similarity), False)
+        settle(cell_links(files.where(F.col("n") <= SMALL) if again else files, sketched, texts, similarity, words))
         if not again:
             break
         rows = levels.pop(0)

@@ -151,7 +151,7 @@ def test_rounds_do_not_grow_with_the_groups_of_a_key(spark, monkeypatch):
         monkeypatch.setattr(module, "staged", lambda df, name="staged", plain=module.staged: written.append(name) or plain(df, name))
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
     assert sorted(r.doc_id for r in similar.representatives(docs, 0.8, 5).collect()) == brute_kept(rows)
-    assert written.count("near_pairs") == 2 and len(written) < 40
+    assert written.count("files") == 2 and len(written) < 40
 
 
 def test_blocks_of_a_large_key(spark, monkeypatch):
@@ -169,14 +169,21 @@ def test_a_cell_finds_what_the_marks_of_two_do():
     rng, np = random.Random(19), similar.np
     texts = [rng.choices(WORDS, k=rng.randint(1, 500)) for _ in range(8)]
     texts += [changed(rng, t, s) for t in texts for s in (0.75, 0.8, 0.9)] + [["the", "same"] * 2000, ["the", "same"] * 2000 + ["x"]]
-    data = [similar.marks(similar.shingles(" ".join(t), 5)) for t in texts]
-    full = np.array([255] * 3 + [1] * 61, dtype=np.uint8).tobytes()            # counts that stand for any number
-    data.append(similar.zstandard.ZstdCompressor().compress(full))
-    node, root = np.arange(len(data)), np.arange(len(data)) // 2
-    for side in (np.zeros(len(data), dtype=bool), node % 3 == 0):
-        x, y = similar.near_in_cell(node, root, side, data, 0.8)
-        got = sorted((min(p), max(p)) for p in zip(x.tolist(), y.tolist()))
-        load = similar.loaded_marks
-        assert got == [(a, b) for a in node.tolist() for b in node.tolist() if a < b and root[a] != root[b] and (not side.any() or side[a] != side[b])
-                       and similar.most_similar(load(data[a]), load(data[b])) >= 0.8]
+    loaded = [similar.counts(similar.shingles(" ".join(t), 5)) for t in texts]
+    loaded.append(np.array([255] * 3 + [1] * 61, dtype=np.uint8))              # counts that stand for any number
+    places, root = range(len(loaded)), np.arange(len(loaded)) // 2
+    for side in (np.zeros(len(loaded), dtype=bool), np.arange(len(loaded)) % 3 == 0):
+        got = sorted((min(k, o), max(k, o)) for k, others in similar.near_in_cell(root, side, loaded, 0.8) for o in others.tolist())
+        assert got == [(a, b) for a in places for b in places if a < b and root[a] != root[b] and (not side.any() or side[a] != side[b])
+                       and similar.most_similar(loaded[a].astype(np.int64), loaded[b].astype(np.int64)) >= 0.8]
         assert len(got) > 20
+
+
+def test_a_cell_of_copies_returns_fewer_links_than_members():
+    """Pairs of near copies grow with the square of their number; what a cell returns does not."""
+    rng, np = random.Random(23), similar.np
+    words = rng.choices(WORDS, k=300)
+    sets = [similar.shingles(" ".join(changed(rng, words, 0.96)), 5) for _ in range(60)]
+    root, side = np.arange(60) // 2, np.zeros(60, dtype=bool)
+    assert sum(len(others) for _, others in similar.near_in_cell(root, side, [similar.counts(h) for h in sets], 0.8)) > 1000
+    assert len(list(similar.links_in_cell(root, side, sets, 0.8))) == 29
